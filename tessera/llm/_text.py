@@ -200,3 +200,39 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     at = np.arange(n)
     return run_hashes(words, at, at + width)
+
+
+def whole_groups(batches, keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches sorted by their first ``keys`` columns, dealt anew so that no group is cut, with each group's first row.
+
+    A group is held whole, so groups must be bounded by how rows were keyed.
+    """
+
+    def changes(batch: pa.RecordBatch) -> np.ndarray:
+        n = batch.num_rows
+        new = np.zeros(n, bool)
+        for k in range(keys):
+            c = batch.column(k)
+            differ = pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, n - 1)), True)
+            new[1:] |= differ.to_numpy(zero_copy_only=False)
+        new[0] = True
+        return np.flatnonzero(new)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in range(keys)):
+            whole = pa.concat_batches(held)
+            yield whole, changes(whole)
+            held = []
+        starts = changes(batch)
+        if len(starts) > 1:  # all but the last group are whole
+            head = pa.concat_batches([*held, batch.slice(0, int(starts[-1]))])
+            yield head, changes(head)
+            held = [batch.slice(int(starts[-1]))]
+        else:
+            held.append(batch)
+    if held:
+        whole = pa.concat_batches(held)
+        yield whole, changes(whole)

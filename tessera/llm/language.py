@@ -247,7 +247,8 @@ def learn(documents: DataFrame, text: str = "text", lang: str = "lang", id: str
     if not models:
         return model
     labelled = documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sample = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(id), F.lit(7)).alias("h")).orderBy("h").limit(calibration_texts)
+    chosen = labelled.select(id, F.xxhash64(F.col(id), F.lit(7)).alias("h")).orderBy("h").limit(calibration_texts).select(id).distinct()
+    sample = labelled.join(F.broadcast(chosen), id).select(F.col(lang).alias("lang"), F.col(text).alias("text"))  # calibration_texts ids at most
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def make():

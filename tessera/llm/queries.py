@@ -7,13 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, shard
+from . import decontaminate, jaccard, language, media, mix, quality, shard, substrings, tokens, toxicity
 from ._text import documents, held_out
 
 SHARDS = 24
 WINDOW_WORDS = 10
 
 
+def op1_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality by dictionary compression, learned where crc32(doc_id) mod 5 is not 0, over every text."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs.withColumn("held_out", held_out("doc_id", 5, 0)), model, keep=["doc_id", "held_out"], threshold=0.3)
+
+
+def op2_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity by a recurrent network, learned where crc32(doc_id) mod 5 is not 0, over every window of every text."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs.withColumn("held_out", held_out("doc_id", 5, 0)), model, keep=["doc_id", "held_out"], threshold=0.5)
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class under five-word shingles and similarity 0.8, and its number of links."""
+    return jaccard.jaccard_classes(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by 50-byte strings that also start in an earlier document, cut from every text."""
+    return substrings.repeated_spans(documents(spark, sf_dir, "doc_id", "text"), 50).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of every document, encoded whole."""
+    return tokens.count_tokens(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as an image and read back, with its difference hash."""
+    return media.text_media(documents(spark, sf_dir, "doc_id", "text"), keep=["doc_id"])
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kneser-Ney language models, learned where crc32(doc_id) mod 4 is not 2, over every text."""
     docs = documents(spark, sf_dir, "doc_id", "text", "lang").withColumn("held_out", held_out("doc_id", 4, 2))
@@ -34,6 +68,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("hit_spans")
 
 
+def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use of every document in a mix of sources by temperature, with its block and order."""
+    return mix.mix(documents(spark, sf_dir, "doc_id", "source", "text"))[0].drop("text_crc32")
+
+
 #: CRC-32 in SQL: the table of 256 remainders by its rule (the reversed polynomial 0xEDB88320), then one step a byte.
 _CRC_TABLE = """(SELECT list(list_reduce(list_prepend(i::BIGINT, [8, 7, 6, 5, 4, 3, 2, 1]::BIGINT[]),
     lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) FROM range(256) r(i))"""
@@ -70,7 +109,17 @@ FROM w LEFT JOIN hits USING (doc_id) LEFT JOIN found USING (doc_id)""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op7_language_id": op7_language_id,
-    "op8_sharding": op8_sharding,
-    "op9_decontamination": op9_decontamination,
+    f.__name__: f
+    for f in (
+        op1_quality_compression,
+        op2_toxicity_gru,
+        op3_ngram_jaccard,
+        op4_suffix_dedup,
+        op5_token_counts,
+        op6_media_columns,
+        op7_language_id,
+        op8_sharding,
+        op9_decontamination,
+        op10_temperature_mix,
+    )
 }
