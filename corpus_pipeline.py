@@ -1,9 +1,64 @@
-"""The corpus pipeline: five stages, each over all that the one before kept."""
+"""The corpus pipeline: five stages, each over all that the one before kept.
 
-STAGES: list = []
+``STAGES`` lists (name, function).  A function takes (spark, docs, sf_dir) and
+returns a DataFrame, which is written as Parquet to the shared folder and read
+again as the next one's docs.  All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, jaccard, language, mix, shard
+from tessera.llm._state import materialize
+from tessera.llm._text import held_out
+from tessera.llm.queries import SHARDS, WINDOW_WORDS
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language models reject go: without letters, or unlike all languages learned."""
+    model = language.learn(docs.where(~held_out("doc_id", 4, 2)))
+    return language.keep_identified(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that five-word shingles at similarity 0.8 connect, the document with the smallest id stays."""
+    return jaccard.keep_first(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a ten-word window of a benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.remove_contamination(docs, items, mode="documents", width=WINDOW_WORDS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the temperature mix uses them; each at least once, none more often than the limit."""
+    return mix.mixed(docs)
+
+
+def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's shard and place in it."""
+    found = shard.assign_shards(docs, SHARDS)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", cut_shards),
+]
+
+#: Language models are not SQL; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Not built yet."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -91,18 +91,20 @@ def slices(batch: pa.RecordBatch, text: int, block_bytes: int = BLOCK_BYTES) ->
     yield batch.slice(at)
 
 
-def with_text_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[Block], dict]], keep: list[str] | None = None) -> DataFrame:
+def with_text_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[Block], dict]], keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """``df``'s columns ``keep`` (default: all) and the columns that a block function finds.
 
     ``make`` runs once in each task and returns the block function, which gives an
-    array for each name in ``fields``.  A new column replaces an old one of its name.
+    array for each name in ``fields``.  A new column, whose name gets ``prefix``,
+    replaces an old one of that name.
     """
-    fresh = {f.name for f in fields}
+    added = [T.StructField(prefix + f.name, f.dataType) for f in fields]
+    fresh = {f.name for f in added}
     kept = [c for c in (df.columns if keep is None else keep) if c not in fresh]
     ship(df.sparkSession)
     source = df.select(*kept, F.col(text).alias("__text"))
-    schema = T.StructType([source.schema[c] for c in kept] + fields)
-    names, at = [*kept, *(f.name for f in fields)], len(kept)
+    schema = T.StructType([source.schema[c] for c in kept] + added)
+    names, at = schema.names, len(kept)
 
     def run(batches):
         function = make()
@@ -115,6 +117,15 @@ def with_text_columns(df: DataFrame, text: str, fields: list[T.StructField], mak
     return source.mapInArrow(run, schema)
 
 
+def without_spans(text: str, spans: str) -> Column:
+    """The bytes of column ``text`` outside the ordered ``spans`` (structs of start and end)."""
+    raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"]))
+    stops = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.octet_length(raw).cast("long")))
+    pieces = F.zip_with(begins, stops, lambda a, b: F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")))
+    return F.unhex(F.array_join(F.transform(pieces, F.hex), ""))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import Block, Words, window_hashes, with_text_columns
+from ._text import Block, Words, window_hashes, with_text_columns, without_spans
 
 #: Windows that may be held by one task at a time: 8 bytes of hash, 4 of item and about 80 of words each.
 MAX_BROADCAST_WINDOWS = 1_000_000
@@ -116,6 +116,7 @@ def find_contamination(
     item_text: str = "text",
     keep: list[str] | None = None,
     max_broadcast_windows: int = MAX_BROADCAST_WINDOWS,
+    prefix: str = "",
 ) -> DataFrame:
     """``documents`` with their hit words, items and hit byte spans; nothing is removed yet.
 
@@ -157,7 +158,7 @@ def find_contamination(
 
         return find
 
-    return with_text_columns(documents, text, FOUND, make, keep)
+    return with_text_columns(documents, text, FOUND, make, keep, prefix)
 
 
 def remove_contamination(documents: DataFrame, benchmark: DataFrame, mode: str = "documents", min_hit_share: float = 0.0, text: str = "text", **options) -> DataFrame:
@@ -167,16 +168,10 @@ def remove_contamination(documents: DataFrame, benchmark: DataFrame, mode: str =
     of the words are hit; ``mode="spans"`` keeps every document and cuts the hit
     byte spans out of its text.  Documents without hits come back unchanged.
     """
-    found = find_contamination(documents, benchmark, text=text, **options)
-    share = F.col("n_hit") > F.col("n_words") * F.lit(float(min_hit_share))
+    found = find_contamination(documents, benchmark, text=text, prefix="__", **options)
     if mode == "documents":
-        return found.where(~(F.col("contaminated") & share)).select(*documents.columns)
+        share = F.col("__n_hit") > F.col("__n_words") * F.lit(float(min_hit_share))
+        return found.where(~(F.col("__contaminated") & share)).select(*documents.columns)
     if mode != "spans":
         raise ValueError(f"mode is documents or spans, not {mode}")
-    raw = F.col(text).cast("binary")
-    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("hit_spans", lambda s: s["end"]))
-    stops = F.concat(F.transform("hit_spans", lambda s: s["start"]), F.array(F.octet_length(raw).cast("long")))
-    pieces = F.zip_with(begins, stops, lambda a, b: F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")))
-    # Bytes are put together as hexadecimal digits: no span cuts a character, so the result is UTF-8 again.
-    whole = F.unhex(F.array_join(F.transform(pieces, F.hex), "")).cast("string")
-    return found.withColumn(text, F.when(F.col("contaminated"), whole).otherwise(F.col(text))).select(*documents.columns)
+    return found.withColumn(text, F.when(F.col("__contaminated"), without_spans(text, "__hit_spans").cast("string")).otherwise(F.col(text))).select(*documents.columns)

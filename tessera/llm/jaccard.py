@@ -102,17 +102,17 @@ def least_matches(threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE,
 
 
 def _describe(documents: DataFrame, id: str, text: str) -> DataFrame:
-    """Each row's id, set (null without words), shingles, signature and bucket of each band."""
-    source = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("__text"))
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType())])
+    """Each row's id, text hash, set (null without words), shingles and signature."""
+    source = documents.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("__text"))
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1):
-                sets = shingle_sets(Block(part.column(1)))
+            for part in slices(batch, 2):
+                sets = shingle_sets(Block(part.column(2)))
                 nodes = [node_of(s) for s in sets]
                 sigs = [signature(s).tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary())], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -304,7 +304,7 @@ def _verify(rows: DataFrame, threshold: Fraction) -> DataFrame:
 
 
 def jaccard_classes(documents: DataFrame, id: str = "doc_id", text: str = "text", threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
-    """One row for each row of ``documents``: id, class_id and n_links.
+    """One row for each row of ``documents``: id, class_id, n_links and text_hash.
 
     n_links counts the other rows of similarity ``threshold`` or more; class_id is
     the smallest id among all that links connect.
@@ -341,5 +341,15 @@ def jaccard_classes(documents: DataFrame, id: str = "doc_id", text: str = "text"
     first = joined.groupBy("label").agg(F.min("first_id").alias("class_first"))
     linked = joined.join(first, "label").select("node", "links", "class_first")
     known = nodes.select("node", "first_id", "copies").join(linked, "node", "left").select("node", F.coalesce("class_first", "first_id").alias("class_first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    own = rows.select("id", F.when(F.col("id").isNotNull(), F.col("node")).alias("node"))
-    return own.join(known, "node", "left").select(F.col("id").alias(id), F.coalesce("class_first", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    own = rows.select("id", "text_hash", F.when(F.col("id").isNotNull(), F.col("node")).alias("node"))
+    return own.join(known, "node", "left").select(F.col("id").alias(id), F.coalesce("class_first", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "text_hash")
+
+
+def keep_first(documents: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One document of each class, that with the smallest id, with all columns; rows with a null id stay."""
+    classes = jaccard_classes(documents, id, text, **options).where(F.col(id).isNotNull())
+    first = classes.groupBy("class_id").agg(F.min(F.struct(id, "text_hash")).alias("first")).select(F.col(f"first.{id}").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    marked = documents.withColumn("__hash", F.xxhash64(F.col(text))).withColumn("__id", F.col(id).cast("long"))
+    # A row repeated as it is has the same id and text hash: one of it stays.
+    kept = marked.join(first.distinct(), ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
+    return kept.select(*documents.columns).unionByName(documents.where(F.col(id).isNull()))

@@ -286,7 +286,7 @@ FOUND = [
 ]
 
 
-def identify(documents: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def identify(documents: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """``documents`` with lang_pred, score, cross_entropy (bits for each character) and rejected."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -295,4 +295,9 @@ def identify(documents: DataFrame, model: Model, text: str = "text", keep: list[
         score = own.scorer()
         return lambda block: own.decide(*score(block))
 
-    return with_text_columns(documents, text, FOUND, make, keep)
+    return with_text_columns(documents, text, FOUND, make, keep, prefix)
+
+
+def keep_identified(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``documents`` without those that the models reject, with their own columns."""
+    return identify(documents, model, text, prefix="__").where(~F.col("__rejected")).select(*documents.columns)

@@ -128,3 +128,14 @@ def mix(
     kept = placed.where("epoch < full OR offset < rest").withColumn("block", F.expr("(epoch * total + offset) div in_block"))
     key = F.md5(F.concat_ws("|", F.lit(f"{seed}:block"), F.col("block").cast("string"), F.col("__key")))
     return kept.select(F.col("__id").alias(id), F.col("__source").alias(source), "n_tokens", F.col("epoch").cast("int").alias("epoch"), "block", key.alias("order_key"), F.col("__crc").alias("text_crc32")), found
+
+
+def mixed(documents: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """``documents`` as often as the mix uses each, with their own columns."""
+    uses, _ = mix(documents, id, source, text, **options)
+    times = uses.groupBy(F.col(id).alias("__id"), F.col(source).alias("__source"), F.col("text_crc32").alias("__crc")).agg(F.count(F.lit(1)).alias("__uses"))
+    keyed = documents.withColumn("__id", F.col(id)).withColumn("__source", F.col(source).cast("string")).withColumn("__crc", F.crc32(F.coalesce(F.col(text).cast("binary"), F.lit(b""))))
+    same = [keyed[c].eqNullSafe(times[c]) for c in ("__id", "__source", "__crc")]
+    # Repeated rows share a key: one of them stands for all its uses.
+    one = keyed.join(times, same).drop(times["__id"]).drop(times["__source"]).drop(times["__crc"]).dropDuplicates(["__id", "__source", "__crc"])
+    return one.withColumn("__use", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__uses")))).select(*documents.columns)

@@ -30,7 +30,7 @@ def op2_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's class under five-word shingles and similarity 0.8, and its number of links."""
-    return jaccard.jaccard_classes(documents(spark, sf_dir, "doc_id", "text"))
+    return jaccard.jaccard_classes(documents(spark, sf_dir, "doc_id", "text")).drop("text_hash")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

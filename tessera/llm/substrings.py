@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._state import materialize
-from ._text import Block, mix64, powers, run_hashes, ship, slices, whole_groups
+from ._text import Block, mix64, run_hashes, ship, slices, whole_groups, without_spans
 from .suffix_array import suffix_array
 
 LENGTH = 50
@@ -487,8 +487,5 @@ def remove_spans(documents: DataFrame, found: DataFrame, id: str = "doc_id", tex
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     keyed = documents.withColumn("text_crc32", F.crc32(raw))
     spans = found.select(id, "text_crc32", "spans").dropDuplicates([id, "text_crc32"])
-    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["end"]))
-    stops = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.octet_length(raw).cast("long")))
-    pieces = F.zip_with(begins, stops, lambda a, b: F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")))
     joined = keyed.join(spans, [id, "text_crc32"], "left")
-    return joined.withColumn(text, F.when(F.size("spans") > 0, F.unhex(F.array_join(F.transform(pieces, F.hex), ""))).otherwise(raw)).select(*documents.columns)
+    return joined.withColumn(text, F.when(F.size("spans") > 0, without_spans(text, "spans")).otherwise(raw)).select(*documents.columns)
