@@ -24,6 +24,7 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 def ship(spark: SparkSession) -> None:
     """Gives the executors' Python this package, once for each context."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     context = spark.sparkContext
     if getattr(context, "_tessera_shipped", False):
         return
@@ -38,10 +39,15 @@ def ship(spark: SparkSession) -> None:
     context._tessera_shipped = True
 
 
+def map_arrow(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow`` by executors that have this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The ``documents`` table, only ``columns`` of it."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
@@ -101,7 +107,6 @@ def with_text_columns(df: DataFrame, text: str, fields: list[T.StructField], mak
     added = [T.StructField(prefix + f.name, f.dataType) for f in fields]
     fresh = {f.name for f in added}
     kept = [c for c in (df.columns if keep is None else keep) if c not in fresh]
-    ship(df.sparkSession)
     source = df.select(*kept, F.col(text).alias("__text"))
     schema = T.StructType([source.schema[c] for c in kept] + added)
     names, at = schema.names, len(kept)
@@ -114,7 +119,7 @@ def with_text_columns(df: DataFrame, text: str, fields: list[T.StructField], mak
                 new = [a if isinstance(a := found[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(a) for f in fields]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(at)] + new, names=names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def without_spans(text: str, spans: str) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._state import materialize
-from ._text import Block, Words, mix64, ship, slices, whole_groups, window_hashes
+from ._text import Block, Words, map_arrow, mix64, ship, slices, whole_groups, window_hashes
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -114,7 +114,7 @@ def _describe(documents: DataFrame, id: str, text: str) -> DataFrame:
                 sigs = [signature(s).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def _buckets(nodes: DataFrame) -> DataFrame:
             flat = pa.array(h.view(np.int64).ravel())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, h.size + 1, BANDS), pa.int32()), flat)], names=schema.names)
 
-    return nodes.select("node", "sig").mapInArrow(run, schema).select("node", F.posexplode("buckets").alias("band", "bucket"))
+    return map_arrow(nodes.select("node", "sig"), run, schema).select("node", F.posexplode("buckets").alias("band", "bucket"))
 
 
 def _pairs_within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +221,7 @@ def _candidates(members: DataFrame, limits: list[tuple[int, int]], threshold: Fr
             empty = pa.ListArray.from_arrays(pa.array(np.zeros(len(alone) + 1), pa.int32()), pa.array([], pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(alone[:, 0]), pa.array(alone[:, 1]), pa.array(alone[:, 2]), empty], names=schema.names)
 
-    return members.mapInArrow(run, schema)
+    return map_arrow(members, run, schema)
 
 
 def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -300,7 +300,7 @@ def _verify(rows: DataFrame, threshold: Fraction) -> DataFrame:
                 mine = np.flatnonzero(links > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(names[mine]), pa.array(links[mine].astype(np.int64)), pa.array(names[label[mine]])], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def jaccard_classes(documents: DataFrame, id: str = "doc_id", text: str = "text", threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:

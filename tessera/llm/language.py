@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import Block, mix64, slices, with_text_columns
+from ._text import Block, map_arrow, mix64, slices, with_text_columns
 
 ORDER = 4
 BITS = 6
@@ -136,7 +136,7 @@ def count_grams(documents: DataFrame, text: str = "text", lang: str = "lang") ->
             grams, counts = merged(parts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.astype(np.int32)), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
-    return source.mapInArrow(run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return map_arrow(source, run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _hashed(grams: np.ndarray, order: int) -> np.ndarray:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._state import materialize
-from ._text import Block, mix64, run_hashes, ship, slices, whole_groups, without_spans
+from ._text import Block, map_arrow, mix64, run_hashes, ship, slices, whole_groups, without_spans
 from .suffix_array import suffix_array
 
 LENGTH = 50
@@ -178,7 +178,7 @@ def _pack(documents: DataFrame, id: str, text: str) -> DataFrame:
                 yield _batch(PACKS, [(number, _squeeze(to.getvalue().to_pybytes()))])
                 number += 1
 
-    return source.mapInArrow(run, PACKS)
+    return map_arrow(source, run, PACKS)
 
 
 def _split(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +208,7 @@ def _spread(packs: DataFrame, buckets: int, length: int) -> DataFrame:
                         rows.append((k, number, _to_bytes(np.sort(own[~many])), _to_bytes(np.sort(own[many]))))
                 yield _batch(ANCHORS, rows)
 
-    return packs.mapInArrow(run, ANCHORS)
+    return map_arrow(packs, run, ANCHORS)
 
 
 def _share(rows: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def _share(rows: DataFrame) -> DataFrame:
             if out:
                 yield _batch(SHARED, out)
 
-    return rows.mapInArrow(run, SHARED)
+    return map_arrow(rows, run, SHARED)
 
 
 def _chosen(pack: Pack, buckets: int, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -302,7 +302,7 @@ def _gather(rows: DataFrame, buckets: int, length: int) -> DataFrame:
                         out.append((k, number, _squeeze(id[a:b]), key[own].tobytes(), _squeeze(shape), _squeeze(grid)))
                 yield _batch(CONTEXTS, out)
 
-    return rows.mapInArrow(run, CONTEXTS)
+    return map_arrow(rows, run, CONTEXTS)
 
 
 def smallest_ids(grid: np.ndarray, left: np.ndarray, right: np.ndarray, id: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -402,7 +402,7 @@ def _judge(rows: DataFrame, length: int) -> DataFrame:
                     out.append((pack, bucket, _squeeze(answer)))
             yield _batch(VERDICTS, out)
 
-    return rows.mapInArrow(run, VERDICTS)
+    return map_arrow(rows, run, VERDICTS)
 
 
 FOUND = [
@@ -464,7 +464,7 @@ def _mark(rows: DataFrame, buckets: int, length: int, id: str) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([pack.ids, *(pa.array(x, k) for x, k in zip(found, kinds, strict=True))], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def repeated_spans(documents: DataFrame, length: int = LENGTH, id: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:

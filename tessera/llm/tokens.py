@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import Block, ship, slices
+from ._text import Block, map_arrow, ship, slices
 
 #: A vocabulary file of ranks (a token's bytes in base64, a blank, its id) and the pattern that goes with it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -140,4 +140,4 @@ def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY, pattern: st
                 arrays = [pa.array(np.concatenate(c) if c else np.zeros(0), pa.int32() if k == 0 else pa.int64()) for k, c in enumerate(columns)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), *arrays], names=names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
