@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.package import ship as ship_package
+
 #: Bytes of text that one numpy block holds, so that temporaries stay small; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 17
 #: Rows of one Arrow batch between the JVM and Python.
@@ -23,20 +22,9 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors' Python this package, once for each context."""
+    """Gives the executors' Python this package and sets the rows of an Arrow batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    context = spark.sparkContext
-    if getattr(context, "_tessera_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera.zip")
-    with zipfile.ZipFile(path, "w") as to:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    to.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(top)))
-    context.addPyFile(path)
-    context._tessera_shipped = True
+    ship_package(spark)
 
 
 def map_arrow(df: DataFrame, run, schema: T.StructType) -> DataFrame:
