@@ -1 +1,146 @@
-"""Queries."""
+"""Queries of erasure coding, group states and caches."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import caches as K
+from ..operators import erasure as E
+from . import views as V
+from .registry import query
+
+_DATA, _PARITY, _CHUNK = 4, 2, 2048
+
+
+def _shards(spark, d):
+    return E.encode(V.objects(spark, d), _DATA, _PARITY, _CHUNK)
+
+
+@query("ec01_striping", V.with_(V.V_OBJECTS) + f"SELECT id, (size + {_DATA * _CHUNK - 1}) // {_DATA * _CHUNK} * {_DATA + _PARITY} AS shards, (size + {_DATA * _CHUNK - 1}) // {_DATA * _CHUNK} * {(_DATA + _PARITY) * _CHUNK} AS bytes FROM v_objects WHERE size > 0")
+def _(spark, d):
+    return _shards(spark, d).groupBy("id").agg(F.count(F.lit(1)).alias("shards"), F.sum(F.octet_length("payload")).cast("long").alias("bytes"))
+
+
+def _recovered(spark, d, lost: str):
+    whole = E.recover(_shards(spark, d).where(f"not ({lost})"), _DATA, _PARITY)
+    joined = whole.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("stripe_id", "data"))).alias("s"))
+    body = F.unhex(F.array_join(F.transform("s", lambda x: F.hex(x["data"])), ""))
+    size = V.objects(spark, d).select("id", "size")
+    return joined.join(size, "id").withColumn("body", body).select("id", F.expr("md5(substring(body, 1, int(size)))").alias("digest"))
+
+
+@query("ec03_recover_md5", V.with_(V.V_OBJECTS) + "SELECT id, etag AS digest FROM v_objects WHERE size > 0")
+def _(spark, d):
+    """Two shards lost of every stripe, another two for each object: all bytes come back."""
+    return _recovered(spark, d, "shard_id = id % 6 or shard_id = (id + 1 + stripe_id % 4) % 6")
+
+
+@query("ec04_degraded_read", V.with_(V.V_OBJECTS) + "SELECT id, etag AS digest FROM v_objects WHERE size > 0")
+def _(spark, d):
+    """One storage down: reads go on."""
+    return _recovered(spark, d, "shard_id = 2")
+
+
+@query("ec05_too_few", V.with_(V.V_OBJECTS) + f"SELECT id, i AS stripe_id, 3 AS valid FROM (SELECT id, unnest(range(0, (size + {_DATA * _CHUNK - 1}) // {_DATA * _CHUNK})) AS i FROM v_objects WHERE id % 10 = 0)")
+def _(spark, d):
+    """Three shards lost: an error."""
+    return E.recover(_shards(spark, d).where("not (id % 10 = 0 and shard_id in (1, 3, 4))"), _DATA, _PARITY).where("data is null").select("id", "stripe_id", "valid")
+
+
+@query("ec02_xor_parity", "SELECT l_orderkey AS stripe_id, l_linenumber AS word, bit_xor(l_partkey) AS parity FROM lineitem GROUP BY ALL")
+def _(spark, d):
+    return E.xor_parity(V.table(spark, d, "lineitem").selectExpr("l_orderkey as stripe_id", "l_linenumber as word", "l_partkey as value"))
+
+
+@query("ec06_repair_max_refcount", "SELECT l_partkey AS stripe_id, max(l_linenumber) AS refs FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY ALL")
+def _(spark, d):
+    return E.repair_counts(V.table(spark, d, "lineitem").where("l_suppkey % 3 <> 0").selectExpr("l_partkey as stripe_id", "l_linenumber as refs"))
+
+
+_STATES = "CASE (s_suppkey * 7 + s_nationkey) % 11 WHEN 0 THEN 'DOWN' WHEN 1 THEN 'NEW' ELSE 'ASSIGNED' END"
+
+
+@query(
+    "ec07_group_state",
+    f"""WITH s AS (SELECT s_suppkey // 6 AS group_id, {_STATES} AS state, s_suppkey // 6 % 5 <> 4 AS seen FROM supplier),
+    n AS (SELECT group_id, count(*) FILTER (state = 'ASSIGNED') AS assigned, count(*) FILTER (state = 'DOWN') AS down, bool_or(seen) AS seen FROM s GROUP BY ALL)
+    SELECT group_id, assigned, down, CASE WHEN NOT seen THEN NULL WHEN assigned = 6 THEN 'HEALTHY' WHEN assigned < 4 THEN 'FAILED' WHEN down > 0 THEN 'DEGRADED' ELSE 'REPAIRING' END AS state FROM n""",
+)
+def _(spark, d):
+    s = V.table(spark, d, "supplier").selectExpr("s_suppkey div 6 as group_id", f"{_STATES} as state", "(s_suppkey div 6) % 5 <> 4 as seen_all")
+    return E.group_state(s, 6, 4)
+
+
+@query("ec08_max_offset", "SELECT l_suppkey AS group_id, max(CASE WHEN l_linenumber > 1 THEN l_partkey * 4096 END) AS \"offset\" FROM lineitem GROUP BY ALL")
+def _(spark, d):
+    return E.leader_offset(V.table(spark, d, "lineitem").selectExpr("l_suppkey as group_id", "if(l_linenumber > 1, l_partkey * 4096, null) as offset"))
+
+
+@query("ec09_placement", "SELECT s_suppkey, (row_number() OVER (ORDER BY s_suppkey) - 1) % 5 AS slot FROM supplier WHERE s_suppkey % 7 <> 3")
+def _(spark, d):
+    """Round robin over live services in order of id."""
+    from pyspark.sql import Window
+
+    live = V.table(spark, d, "supplier").where("s_suppkey % 7 <> 3")
+    return live.select("s_suppkey", ((F.row_number().over(Window.orderBy("s_suppkey")) - 1) % 5).cast("long").alias("slot"))
+
+
+@query("ec10_config", "SELECT p_partkey, coalesce(d + p = s AND d > 0 AND k % nullif(d, 0) = 0, FALSE) AS valid FROM (SELECT p_partkey, p_partkey % 5 AS d, p_partkey % 3 AS p, p_size % 8 AS s, 1024 AS k FROM part)")
+def _(spark, d):
+    c = V.table(spark, d, "part").selectExpr("p_partkey", "p_partkey % 5 as data", "p_partkey % 3 as parity", "p_size % 8 as storages", "1024 as stripe_kib")
+    return E.validate_config(c).select("p_partkey", "valid")
+
+
+@query("ec11_used", V.with_(V.V_OBJECTS) + f"SELECT id, (size + {_DATA * _CHUNK - 1}) // {_DATA * _CHUNK} * {_DATA * _CHUNK} AS used FROM v_objects WHERE size > 0")
+def _(spark, d):
+    return E.used_space(_shards(spark, d), _DATA)
+
+
+def _trace(spark, d):
+    return V.table(spark, d, "events").selectExpr("event_id as seq", "get_json_object(props, '$.k') as key", "cast(floor(value * 10) as bigint) as size", "user_id", f"cast({V.epoch('ts')} as bigint) as at")
+
+
+def _hits(rows):
+    return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("uses"), F.count(F.when(F.col("hit"), 1)).alias("hits"), F.sum(F.size("evicted")).cast("long").alias("evictions"))
+
+
+@query("ca01_lfu")
+def _(spark, d):
+    return _hits(K.replay(_trace(spark, d), lambda: K.Lfu(20), F.expr("user_id % 8")))
+
+
+@query(
+    "ca02_lru",
+    """WITH t AS (SELECT event_id AS seq, user_id % 8 AS shard, json_extract_string(props, '$.k') AS key FROM events),
+    p AS (SELECT *, lag(seq) OVER (PARTITION BY shard, key ORDER BY seq) AS last FROM t),
+    h AS (SELECT p.shard, p.seq, p.last IS NOT NULL AND (SELECT count(DISTINCT x.key) FROM t x WHERE x.shard = p.shard AND x.seq > p.last AND x.seq < p.seq) < 20 AS hit FROM p)
+    SELECT shard, count(*) AS uses, count(*) FILTER (hit) AS hits FROM h GROUP BY shard""",
+)
+def _(spark, d):
+    """A use hits if fewer other keys than the capacity came since the last use of its key."""
+    return _hits(K.replay(_trace(spark, d), lambda: K.Lru(20), F.expr("user_id % 8"))).select("shard", "uses", "hits")
+
+
+@query("ca03_timed", "SELECT event_id AS seq, coalesce(floor(epoch(ts))::BIGINT - lag(floor(epoch(ts))::BIGINT) OVER (PARTITION BY user_id, json_extract_string(props, '$.k') ORDER BY floor(epoch(ts)), event_id) <= 86400, FALSE) AS hit FROM events")
+def _(spark, d):
+    return K.timed_hits(_trace(spark, d), 86400, ["user_id", "key"]).select("seq", "hit")
+
+
+@query("ca04_write_buffer", "SELECT event_id AS seq, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 10 AS flush FROM events")
+def _(spark, d):
+    return K.write_batches(_trace(spark, d), 10, "user_id").select("seq", "flush")
+
+
+@query("ca05_read_cache")
+def _(spark, d):
+    return _hits(K.replay(_trace(spark, d), lambda: K.ReadCache(30), F.expr("user_id % 8")))
+
+
+@query("ca07_lfu_reset")
+def _(spark, d):
+    return _hits(K.replay(_trace(spark, d), lambda: K.Lfu(20, reset_on_update=True), F.expr("user_id % 8")))
+
+
+@query("ca08_bytes_lru")
+def _(spark, d):
+    return _hits(K.replay(_trace(spark, d), lambda: K.ByteLru(2000), F.expr("user_id % 8")))
