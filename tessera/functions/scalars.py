@@ -8,6 +8,7 @@ import hmac
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The characters that trimming removes.
 BLANKS = " \n\r\t\f\x0b"
@@ -99,13 +100,13 @@ def format_imf(seconds: Column) -> Column:
     return F.concat(F.date_format(F.date_from_unix_date(day), "EEE, dd MMM yyyy"), clock)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def hmac_sha256(key: pd.Series, data: pd.Series) -> pd.Series:
     """SC-13: hexadecimal HMAC-SHA256 of text under a key in hexadecimal."""
     return pd.Series([hmac.new(bytes.fromhex(k), d.encode(), hashlib.sha256).hexdigest() if k is not None and d is not None else None for k, d in zip(key, data, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def scrypt_hash(password: pd.Series, salt: pd.Series) -> pd.Series:
     """SC-14: hexadecimal scrypt (N 16384, r 8, p 1, 32 bytes) of a password under a salt in hexadecimal; slow on purpose."""
     return pd.Series([hashlib.scrypt(p.encode(), salt=bytes.fromhex(s), n=16384, r=8, p=1, dklen=32).hex() if p is not None and s is not None else None for p, s in zip(password, salt, strict=True)])
