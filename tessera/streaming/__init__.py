@@ -1 +1 @@
-
+"""Continuous operators on Structured Streaming."""
