@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .caches import Lfu
+
 # Bytes by which the dictionary is ordered first, the length that a match must exceed, and that of a new fragment at most.
 PREFIX, MIN_MATCH, MAX_FRAGMENT = 16, 32, 8192
 #: Bytes of one call: what a call adds is not seen before the next.
@@ -53,35 +55,32 @@ def common_prefix(a: Column, b: Column, most: int) -> Column:
 
 
 class Dictionary:
-    """Fragments in order of their first 16 bytes, then of as much of their bodies as the shorter one has."""
+    """Fragments in order of their first 16 bytes, then of as much of their bodies as the shorter one has.
+
+    With a ``capacity``, the least used fragments are forgotten; those that begin a
+    call (headers) have a capacity of their own (DD-13, 15).
+    """
 
     def __init__(self, capacity: int | None = None):
         self.bodies: list[bytes] = []
-        self.uses: dict[bytes, int] = {}
-        self.capacity = capacity
-
-    def match(self, data: memoryview) -> int:
-        """The longest prefix of ``data`` that a neighbour shares; of equal ones the upper neighbour counts."""
-        at = bisect_left(self.bodies, bytes(data))
-        best = 0
-        for body in self.bodies[max(0, at - 1) : at + 1]:
-            n = min(len(body), len(data))
-            k = 0
-            if body[:n] == data[:n]:
-                k = n
-            else:
-                low, high = 0, n
-                while low < high:  # the first byte that differs
-                    mid = (low + high + 1) // 2
-                    if body[:mid] == data[:mid]:
-                        low = mid
-                    else:
-                        high = mid - 1
-                k = low
-            best = max(best, k)
-        return best
-
-    def insert(self, body: bytes) -> None:
+        self.main, self.headers = (None, None) if capacity is None else (Lfu(capacity), Lfu(capacity))
+
+    def match(self, data: bytes) -> tuple[int, bytes | None]:
+        """The longest prefix of ``data`` that a neighbour shares, and that neighbour; of equal ones the upper."""
+        at = bisect_left(self.bodies, data)
+        best, found = 0, None
+        for body in reversed(self.bodies[max(0, at - 1) : at + 1]):
+            low, high = 0, min(len(body), len(data))
+            if body[:high] == data[:high]:
+                low = high
+            while low < high:  # the first byte that differs lies between
+                mid = (low + high + 1) // 2
+                low, high = (mid, high) if body[:mid] == data[:mid] else (low, mid - 1)
+            if low > best:
+                best, found = low, body
+        return best, found
+
+    def insert(self, body: bytes, header: bool = False) -> None:
         """The first writer wins: a body that equals a neighbour, or is its prefix, or it its, beyond the first 16 bytes, is not added."""
         at = bisect_left(self.bodies, body)
         for other in self.bodies[max(0, at - 1) : at + 1]:
@@ -89,29 +88,43 @@ class Dictionary:
             if body[:PREFIX] == other[:PREFIX] and body[:n] == other[:n]:
                 return
         self.bodies.insert(at, body)
-        if self.capacity is not None and len(self.bodies) > self.capacity:
-            self.bodies.pop(at - 1 if at else 1)
+        if self.main is not None:
+            for gone in (self.headers if header else self.main).use(body)[1]:
+                self.bodies.pop(bisect_left(self.bodies, gone))
+
+    def touch(self, body: bytes) -> None:
+        """A hit counts for fragments that are no headers."""
+        if self.main is not None and body in self.main.uses:
+            self.main.use(body)
 
 
-def greedy_scan(data: bytes, dictionary: Dictionary) -> list[tuple[int, int, bool]]:
-    """DD-5: (offset, size, stored) of each fragment of one call, against what earlier calls added."""
-    view, at, out = memoryview(data), 0, []
+def greedy_scan(data: bytes, dictionary: Dictionary) -> list[tuple[int, int, bytes | None]]:
+    """DD-5: (offset, size, the dictionary's fragment or none) of each fragment of one call, against what earlier calls added."""
+    at, out = 0, []
     while at < len(data):
-        window = view[at : at + 2 * MAX_FRAGMENT]
-        n = dictionary.match(window)
-        if n > MIN_MATCH:
-            out.append((at, n, True))
-        else:
-            n = min(MAX_FRAGMENT, len(data) - at)
-            out.append((at, n, False))
+        n, body = dictionary.match(bytes(data[at : at + 2 * MAX_FRAGMENT]))
+        if n <= MIN_MATCH:
+            n, body = min(MAX_FRAGMENT, len(data) - at), None
+        out.append((at, n, body))
         at += n
     return out
 
 
+def learn_call(data: bytes, found: list[tuple[int, int, bytes | None]], dictionary: Dictionary) -> None:
+    """DD-6, 12, 14: what a scanned call leaves in the dictionary; a call without new data leaves nothing."""
+    if all(body is not None for *_, body in found):
+        return
+    for at, n, body in found:
+        if body is not None:
+            dictionary.touch(body)
+        else:
+            dictionary.insert(bytes(data[at : at + n]), header=at == 0)
+
+
 FRAGMENTS = T.StructType([T.StructField("shard", T.LongType()), T.StructField("id", T.LongType()), T.StructField("idx", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("size", T.LongType()), T.StructField("stored", T.BooleanType())])
 
 
-def greedy_dedup(objects: DataFrame, shard: Column, id: str = "id", content: str = "text") -> DataFrame:
+def greedy_dedup(objects: DataFrame, shard: Column, id: str = "id", content: str = "text", capacity: int | None = None) -> DataFrame:
     """DD-5, 6, 9, 12, 18: fragments of every object, deduplicated within its shard in order of id.
 
     Shards have dictionaries of their own, as nodes have; more shards mean more tasks
@@ -120,22 +133,20 @@ def greedy_dedup(objects: DataFrame, shard: Column, id: str = "id", content: str
     source = objects.select(shard.cast("long").alias("shard"), F.col(id).cast("long").alias("id"), F.col(content).cast("binary").alias("content"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, dictionary = None, Dictionary()
+        now, dictionary = None, Dictionary(capacity)
         for pdf in batches:
             rows = []
             for s, i, data in pdf.itertuples(index=False):
                 if s != now:
-                    now, dictionary = s, Dictionary()
+                    now, dictionary = s, Dictionary(capacity)
                 idx = 0
                 for begin in range(0, len(data or b""), CALL_BYTES):
                     call = data[begin : begin + CALL_BYTES]
                     found = greedy_scan(call, dictionary)
-                    for at, n, stored in found:
-                        rows.append((s, i, idx, begin + at, n, stored))
+                    for at, n, body in found:
+                        rows.append((s, i, idx, begin + at, n, body is not None))
                         idx += 1
-                    for at, n, stored in found:
-                        if not stored:
-                            dictionary.insert(bytes(call[at : at + n]))
+                    learn_call(call, found, dictionary)
             yield pd.DataFrame(rows, columns=FRAGMENTS.names)
 
     return source.repartition("shard").sortWithinPartitions("shard", "id").mapInPandas(run, FRAGMENTS)

@@ -25,4 +25,4 @@ def query(key: str, sql: str | None = None):
 
 
 # The modules register their queries when they are imported.
-from . import access, catalog, content, durability, inout, relational, scalars, usage  # noqa: E402, F401
+from . import access, catalog, commands, content, durability, inout, relational, scalars, usage  # noqa: E402, F401

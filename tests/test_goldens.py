@@ -52,22 +52,44 @@ def test_dictionary_calls():
     data = random.Random(42).randbytes(66)
     d = dedup.Dictionary()
     first = dedup.greedy_scan(data, d)
-    assert first == [(0, 66, False)]
-    d.insert(data)
+    assert first == [(0, 66, None)]
+    dedup.learn_call(data, first, d)
     for _ in range(2):
-        assert dedup.greedy_scan(data, d) == [(0, 66, True)]
+        assert dedup.greedy_scan(data, d) == [(0, 66, data)]
 
 
 def test_dictionary_sees_earlier_calls_only():
     half = random.Random(1).randbytes(8192)
-    assert [x[2] for x in dedup.greedy_scan(half + half, dedup.Dictionary())] == [False, False]
+    assert [x[2] for x in dedup.greedy_scan(half + half, dedup.Dictionary())] == [None, None]
 
 
 def test_match_must_exceed_32_bytes():
     d = dedup.Dictionary()
     d.insert(b"x" * 32 + b"tail" * 20)
-    assert dedup.greedy_scan(b"x" * 32 + b"else" * 20, d)[0][2] is False
-    assert dedup.greedy_scan(b"x" * 32 + b"tail!", d)[0] == (0, 36, True)
+    assert dedup.greedy_scan(b"x" * 32 + b"else" * 20, d)[0][2] is None
+    assert dedup.greedy_scan(b"x" * 32 + b"tail!", d)[0][:2] == (0, 36)
+
+
+def test_neighbours_of_the_dictionary():
+    d = dedup.Dictionary()
+    assert d.match(b"a" * 8192) == (0, None)
+    d.insert(b"a" * 8192)
+    d.insert(b"c" * 2048)
+    assert d.match(b"b" * 4096) == (0, None)
+    assert d.match(b"c" * 100)[0] == 100 and d.match(b"a" * 9000)[0] == 8192
+
+
+def test_forgetting_the_least_used():
+    r = random.Random(3)
+    a, b, c = (bytes([k]) + r.randbytes(99) for k in range(3))
+    d = dedup.Dictionary(2)
+    d.insert(a)
+    d.insert(b)
+    d.touch(a)
+    d.insert(c)
+    assert sorted(d.bodies) == [a, c]
+    d.insert(b, header=True)  # headers have room of their own
+    assert len(d.bodies) == 3
 
 
 def test_first_writer_wins():
