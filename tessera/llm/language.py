@@ -35,7 +35,7 @@ UNKNOWN = "und"
 #: Texts on which score and rejection are calibrated.
 CALIBRATION_TEXTS = 2000
 #: The share of a language's own texts that may lie beyond its limit, and the room left above it.
-REJECTED_SHARE, ROOM_BITS, SHORT_TEXT_BITS = 0.001, 0.5, 12.0
+REJECTED_SHARE, ROOM_BITS, SHORT_TEXT_BITS = 0.001, 1.5, 12.0
 
 
 def _class_table() -> np.ndarray:
