@@ -123,8 +123,8 @@ def mix(
     quota = spark.createDataFrame([(s, t, max(1, w * block_tokens // PARTS_PER_MILLION), q, q // t, q % t) for s, t, w, q in found.sources], "s string, total long, in_block long, quota long, full long, rest long")
     known = rows.join(F.broadcast(quota), F.col("__source").eqNullSafe(F.col("s")))  # a row for each source
     uses = known.withColumn("epoch", F.explode(F.expr("sequence(0L, if(rest > 0, full, full - 1))"))) if found.sources else known.withColumn("epoch", F.lit(0).cast("long"))
-    uses = uses.where("epoch >= 0 AND (epoch < full OR rest > 0)").withColumn("__key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("__id").cast("string"), F.lit("")), F.col("__crc").cast("string"))))
-    placed = with_offsets(uses, ["__source", "epoch", "__key", "__id"], "n_tokens", by=["__source", "epoch"])
+    uses = uses.where("epoch >= 0 AND (epoch < full OR rest > 0)").withColumn("__key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("__id").cast("string"), F.lit("")))))
+    placed = with_offsets(uses, ["__source", "epoch", "__key", "__crc"], "n_tokens", by=["__source", "epoch"])
     kept = placed.where("epoch < full OR offset < rest").withColumn("block", F.expr("(epoch * total + offset) div in_block"))
     key = F.md5(F.concat_ws("|", F.lit(f"{seed}:block"), F.col("block").cast("string"), F.col("__key")))
     return kept.select(F.col("__id").alias(id), F.col("__source").alias(source), "n_tokens", F.col("epoch").cast("int").alias("epoch"), "block", key.alias("order_key"), F.col("__crc").alias("text_crc32")), found

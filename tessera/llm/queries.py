@@ -77,7 +77,31 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CRC_TABLE = """(SELECT list(list_reduce(list_prepend(i::BIGINT, [8, 7, 6, 5, 4, 3, 2, 1]::BIGINT[]),
     lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) FROM range(256) r(i))"""
 
+#: The bisection of mix.plan: whether the weights at exponent ``x`` reach the target entropy, and the repetition limit.
+_ENTROPY_OK = """(SELECT CASE WHEN count(*) > 1 THEN -sum(r / z * ln(r / z)) / ln(count(*)) ELSE 1 END >= {target} FROM (SELECT pow(share, {x}) AS r, sum(pow(share, {x})) OVER () AS z FROM t))"""
+_PASSES_OK = """(SELECT max(r / z / tokens) / min(r / z / tokens) <= {limit} FROM (SELECT tokens, pow(share, {x}) AS r, sum(pow(share, {x})) OVER () AS z FROM t))"""
+
 ORACLE: dict[str, str] = {
+    "op10_temperature_mix": f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, greatest(1, (octet_length(encode(coalesce(text, ''))) + 3) // 4)::BIGINT AS n_tokens FROM documents),
+t0 AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY source),
+t AS (SELECT source, tokens, tokens::DOUBLE / sum(tokens) OVER () AS share FROM t0),
+e(i, lo, hi) AS (SELECT 0, CASE WHEN {_ENTROPY_OK.format(target=mix.TARGET_ENTROPY, x="1.0::DOUBLE")} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 1.0::DOUBLE
+    UNION ALL SELECT i + 1, CASE WHEN ok THEN m ELSE lo END, CASE WHEN ok THEN hi ELSE m END
+    FROM (SELECT *, {_ENTROPY_OK.format(target=mix.TARGET_ENTROPY, x="m")} AS ok FROM (SELECT *, (lo + hi) / 2 AS m FROM e WHERE i < {mix.STEPS} AND lo < hi))),
+p(i, lo, hi) AS (SELECT 0, CASE WHEN {_PASSES_OK.format(limit=mix.MAX_EPOCHS, x="0.0::DOUBLE")} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 1.0::DOUBLE
+    UNION ALL SELECT i + 1, CASE WHEN ok THEN m ELSE lo END, CASE WHEN ok THEN hi ELSE m END
+    FROM (SELECT *, {_PASSES_OK.format(limit=mix.MAX_EPOCHS, x="(1 - m)")} AS ok FROM (SELECT *, (lo + hi) / 2 AS m FROM p WHERE i < {mix.STEPS} AND lo < hi))),
+x AS (SELECT round(greatest((SELECT arg_max(lo, i) FROM e), 1 - (SELECT arg_max(lo, i) FROM p)), 6) AS x),
+w AS (SELECT source, tokens, greatest(1, round_even(pow(share, x) / sum(pow(share, x)) OVER () * 1000000, 0)::BIGINT) AS w FROM t, x),
+b AS (SELECT max((tokens * 1000000 + w - 1) // w) AS budget FROM w),
+q AS (SELECT source, tokens, greatest(1, w * {mix.BLOCK_TOKENS} // 1000000) AS in_block, greatest(tokens, budget * w // 1000000) AS quota FROM w, b),
+u AS (SELECT d.*, tokens, in_block, quota, unnest(range(0, quota // tokens + CASE WHEN quota % tokens > 0 THEN 1 ELSE 0 END)) AS epoch FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+k AS (SELECT *, md5('0|' || epoch || '|' || coalesce(doc_id::VARCHAR, '')) AS key FROM u),
+o AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY key ROWS UNBOUNDED PRECEDING)::BIGINT - n_tokens AS off FROM k)
+SELECT doc_id, source, n_tokens, epoch::INTEGER AS epoch, (epoch * tokens + off) // in_block AS block,
+    md5('0:block|' || (epoch * tokens + off) // in_block || '|' || key) AS order_key
+FROM o WHERE epoch < quota // tokens OR off < quota % tokens""",
     "op8_sharding": f"""
 WITH table_of AS (SELECT {_CRC_TABLE} AS t),
 b AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h, coalesce(octet_length(encode(text)), 0) AS n FROM documents),

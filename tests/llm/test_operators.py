@@ -526,9 +526,9 @@ def brute_uses(rows, plan, seed=0, block=1 << 20):
         own = [(i, t) for i, t, src in rows if src == s]
         in_block, offset0 = max(1, w * block // 1_000_000), 0
         for epoch in range(quota // total + (quota % total > 0)):
-            key = lambda r: hashlib.md5(f"{seed}|{epoch}|{r[0]}|{zlib.crc32((r[1] or '').encode())}".encode()).hexdigest()  # noqa: B023, E731
+            key = lambda r: hashlib.md5(f"{seed}|{epoch}|{r[0]}".encode()).hexdigest()  # noqa: B023, E731
             at = 0
-            for r in sorted(own, key=key):
+            for r in sorted(own, key=lambda r: (key(r), zlib.crc32((r[1] or "").encode()))):  # noqa: B023
                 if epoch == quota // total and at >= quota % total:
                     break
                 b = (epoch * total + at) // in_block
