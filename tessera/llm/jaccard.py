@@ -41,8 +41,8 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: MinHash values compared before the posterior is looked at again.
 STEP = 32
-#: Nodes of a block; a larger bucket is dealt into pairs of blocks.
-BLOCK = 512
+#: Nodes of a block, and shingles of a block to verify; what is larger is dealt into pairs of blocks.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 
 _random = np.random.default_rng(20240501)
 _FLIP = _random.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -163,8 +163,8 @@ def _prune(sig: np.ndarray, sizes: np.ndarray, band: np.ndarray, i: np.ndarray,
 
 
 def _candidates(members: DataFrame, limits: list[tuple[int, int]], threshold: Fraction) -> DataFrame:
-    """Surviving pairs as (g1, g2, a, partners), and a row without partners for each partner; g1, g2 are the nodes' blocks."""
-    schema = T.StructType([T.StructField("g1", T.LongType()), T.StructField("g2", T.LongType()), T.StructField("a", T.LongType()), T.StructField("partners", T.ArrayType(T.LongType()))])
+    """Surviving pairs as lists (g1, g2, left, right), and a row (g1, g2, node) for each node in them; g1, g2 are the nodes' blocks."""
+    schema = T.StructType([T.StructField("g1", T.LongType()), T.StructField("g2", T.LongType()), T.StructField("node", T.LongType()), T.StructField("left", T.ArrayType(T.LongType())), T.StructField("right", T.ArrayType(T.LongType()))])
     budget = 1 << 18  # pairs at a time
 
     def run(batches):
@@ -211,15 +211,21 @@ def _candidates(members: DataFrame, limits: list[tuple[int, int]], threshold: Fr
                 continue
             swap = (block[i] > block[j]) | ((block[i] == block[j]) & (node[i] > node[j]))
             i, j = np.where(swap, j, i), np.where(swap, i, j)
-            order = np.lexsort((node[j], node[i], block[j], block[i]))
+            order = np.lexsort((block[j], block[i]))
             i, j = i[order], j[order]
-            key = np.stack([block[i], block[j], node[i]], axis=1)
-            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(i)), pa.int32()), pa.array(node[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(block[i][new]), pa.array(block[j][new]), pa.array(node[i][new]), lists], names=schema.names)
-            alone = np.unique(np.stack([block[i], block[j], node[j]], axis=1), axis=0)
-            empty = pa.ListArray.from_arrays(pa.array(np.zeros(len(alone) + 1), pa.int32()), pa.array([], pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(alone[:, 0]), pa.array(alone[:, 1]), pa.array(alone[:, 2]), empty], names=schema.names)
+            g1, g2 = block[i], block[j]
+            new = np.flatnonzero(np.concatenate([[True], (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])]))
+            bounds = np.append(new, len(i))
+            # A row for each pair of blocks, its pairs in pieces of bounded length.
+            cuts = np.unique(np.concatenate([bounds, np.arange(0, len(i), budget)]))
+            at = pa.array(cuts, pa.int32())
+            first = cuts[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(g1[first]), pa.array(g2[first]), pa.nulls(len(first), pa.int64()), pa.ListArray.from_arrays(at, pa.array(node[i])), pa.ListArray.from_arrays(at, pa.array(node[j]))], names=schema.names)
+            own = np.stack([np.tile(g1, 2), np.tile(g2, 2), np.concatenate([node[i], node[j]])])
+            own = own[:, np.lexsort(own[::-1])]
+            own = own[:, np.concatenate([[True], (own[:, 1:] != own[:, :-1]).any(axis=0)])]
+            none = pa.nulls(own.shape[1], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in own), none, none], names=schema.names)
 
     return map_arrow(members, run, schema)
 
@@ -261,7 +267,7 @@ def _verify(rows: DataFrame, threshold: Fraction) -> DataFrame:
     def run(batches):
         for table, starts in whole_groups(batches, 2):
             kind = table.column(2).to_numpy()
-            node, copies = table.column(3).to_numpy(), table.column(4).to_numpy(zero_copy_only=False)
+            node, copies = (table.column(k).fill_null(0).to_numpy() for k in (3, 4))
             ends = np.append(starts[1:], table.num_rows)
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 n = int((kind[s:e] == 0).sum())
@@ -277,10 +283,7 @@ def _verify(rows: DataFrame, threshold: Fraction) -> DataFrame:
                 chosen = np.array(sorted(held.values(), key=lambda k: node[s + k]), np.int64)
                 names, weight = node[s + chosen], copies[s + chosen].astype(np.int64)
                 sets = [sets[k] for k in chosen]
-                lists = table.column(6).slice(s + n, e - s - n)
-                sizes = np.diff(lists.offsets.to_numpy()[: len(lists) + 1])
-                a = np.searchsorted(names, np.repeat(node[s + n : e], sizes))
-                b = np.searchsorted(names, lists.flatten().to_numpy())
+                a, b = (np.searchsorted(names, table.column(k).slice(s + n, e - s - n).flatten().to_numpy()) for k in (6, 7))
                 common = _intersections(sets, a, b)
                 length = np.array([len(x) for x in sets])
                 p, q = threshold.numerator, threshold.denominator
@@ -318,21 +321,21 @@ def jaccard_classes(documents: DataFrame, id: str = "doc_id", text: str = "text"
     shared = hits.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(hits.join(shared, "bucket"), "members")
     # A node's home, among all its buckets, is the one with the smallest number: nodes of one crowd share few homes.
-    home = members.groupBy("node").agg(F.min("bucket").alias("home"))
-    crowd = home.groupBy("home").agg(F.count(F.lit(1)).alias("crowd"))
-    homes = home.join(crowd, "home").select("node", F.xxhash64("home", F.expr(f"pmod(xxhash64(node), ceil(crowd / {block}))")).alias("block"))
-    known = nodes.join(homes, "node").select("node", "block", "n", "sig")
+    home = members.groupBy("node").agg(F.min("bucket").alias("home")).join(nodes.select("node", "n", "sig"), "node")
+    crowd = home.groupBy("home").agg(F.expr(f"greatest(ceil(count(1) / {block}), ceil(sum(n) / {BLOCK_SHINGLES}))").alias("blocks"))
+    known = home.join(crowd, "home").select("node", F.xxhash64("home", F.expr("pmod(xxhash64(node), blocks)")).alias("block"), "n", "sig")
     parts = members.withColumn("blocks", F.expr(f"ceil(size / {block})")).withColumn("mine", F.expr("pmod(xxhash64(node), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     placed = parts.select("bucket", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), F.expr("int(mine > other)").alias("side"), "node", "band")
     dealt = placed.join(known, "node").select("bucket", "b1", "b2", "side", "node", "block", "n", "sig", "band")
     limits = least_matches(threshold, tolerance)
     grouped = dealt.repartition("bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2")
-    found = materialize(_candidates(grouped, limits, threshold), "candidates")
+    found = materialize(_candidates(grouped, limits, threshold), "candidates", release=True)
 
-    needed = found.select("g1", "g2", F.col("a").alias("node")).distinct().join(nodes.select("node", "first_id", "copies"), "node")
+    needed = found.where("node IS NOT NULL").select("g1", "g2", "node").distinct().join(nodes.select("node", "first_id", "copies"), "node")
     texts = documents.select(F.col(id).cast("long").alias("first_id"), F.col(text).alias("text"))
-    sets = needed.join(texts, "first_id").select("g1", "g2", F.lit(0).alias("kind"), "node", "copies", "text", F.lit(None).cast("array<bigint>").alias("partners"))
-    lists = found.where("size(partners) > 0").select("g1", "g2", F.lit(1).alias("kind"), F.col("a").alias("node"), F.lit(None).cast("bigint").alias("copies"), F.lit(None).cast("string").alias("text"), "partners")
+    none = F.lit(None).cast("array<bigint>")
+    sets = needed.join(texts, "first_id").select("g1", "g2", F.lit(0).alias("kind"), "node", "copies", "text", none.alias("left"), none.alias("right"))
+    lists = found.where("node IS NULL").select("g1", "g2", F.lit(1).alias("kind"), "node", F.lit(None).cast("bigint").alias("copies"), F.lit(None).cast("string").alias("text"), "left", "right")
     verified = materialize(_verify(sets.unionByName(lists).repartition("g1", "g2").sortWithinPartitions("g1", "g2", "kind"), threshold), "verified")
 
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
