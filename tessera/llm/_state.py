@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,12 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lost executors cost no rework, and partitions stay as they were dealt."""
+def materialize(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lost executors cost no rework, and partitions stay as they were dealt.
+
+    With ``release``, the shuffle files behind ``df`` go now: nothing below needs them,
+    and Spark removes them once its driver has collected the plan that made them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # Nothing below needs the shuffle files behind ``df`` any more; Spark removes them once its driver has collected the plan.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2 if release else 0):  # what the first round finds holds more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,7 +3,7 @@
 Every byte covered by a string of ``length`` bytes that also starts in a document
 with a smaller id is removed, all strings judged on the input.
 
-1. Documents are packed (about a megabyte of text each) and written once.
+1. Documents are packed (some megabytes of text each) and written once.
 2. Anchors: in each string of ``length`` bytes the 16-gram with the lowest hash.
    The anchor depends on the string alone, so equal strings meet under one anchor.
    Anchors, six bytes each, are dealt to buckets, which tell the packs which of
@@ -46,7 +46,7 @@ from .suffix_array import suffix_array
 
 LENGTH = 50
 GRAM = 16
-PACK_BYTES = 1 << 20
+PACK_BYTES = 1 << 22
 STRETCH = 1 << 18
 BUCKETS_PER_PARTITION = 4
 #: Contexts whose suffixes are sorted together, unless one anchor has more.
@@ -55,8 +55,8 @@ HASH_BYTES = 6
 EARLIER = np.uint64(1) << np.uint64(63)
 
 
-def _squeeze(x: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes() if isinstance(x, np.ndarray) else x)
+def _squeeze(x: np.ndarray | bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(x.tobytes() if isinstance(x, np.ndarray) else x)
 
 
 def _expand(x: bytes) -> bytes:
@@ -129,8 +129,12 @@ class Pack:
         at, doc, b = self.at[chosen], self.doc[chosen], self.block
         left = np.minimum(at - b.starts[doc], self.length - GRAM)
         right = np.minimum(b.ends[doc] - at, self.length)
-        h = run_hashes(b.data, at - left, at + right)
-        return left, right, mix64(h ^ (left.astype(np.uint64) << np.uint64(32)) ^ self.h[chosen])
+        return left, right, context_keys(b.data, at, left, right)
+
+
+def context_keys(data: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of each context and of where its anchor stands in it."""
+    return mix64(run_hashes(data, at - left, at + right) ^ (left.astype(np.uint64) << np.uint64(32)))
 
 
 def _six(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -155,7 +159,7 @@ def _fields(**kinds) -> T.StructType:
 PACKS = _fields(pack=T.LongType, blob=T.BinaryType)
 ANCHORS = _fields(bucket=T.IntegerType, pack=T.LongType, once=T.BinaryType, often=T.BinaryType)
 SHARED = _fields(pack=T.LongType, bucket=T.IntegerType, shared=T.BinaryType)
-CONTEXTS = _fields(bucket=T.IntegerType, pack=T.LongType, ids=T.BinaryType, keys=T.BinaryType, shape=T.BinaryType, data=T.BinaryType)
+CONTEXTS = _fields(bucket=T.IntegerType, pack=T.LongType, ids=T.BinaryType, shape=T.BinaryType, data=T.BinaryType)
 VERDICTS = _fields(pack=T.LongType, bucket=T.IntegerType, verdict=T.BinaryType)
 
 
@@ -252,7 +256,7 @@ def _chosen(pack: Pack, buckets: int, answers: dict[int, bytes]) -> tuple[np.nda
 
 
 def _distinct(pack: Pack, buckets: int, answers: dict[int, bytes]):
-    """The chosen anchors, their context hashes, and for each distinct context in order of bucket and hash: its first anchor, bucket, smallest id."""
+    """The chosen anchors with their contexts' sides, and for each distinct context in order of bucket and hash: its first anchor, bucket, smallest id."""
     at, bucket = _chosen(pack, buckets, answers)
     left, right, key = pack.contexts(at)
     order = np.lexsort((pack.id[pack.doc[at]], key, bucket))
@@ -263,7 +267,7 @@ def _distinct(pack: Pack, buckets: int, answers: dict[int, bytes]):
     begins[new] = 1
     rank = np.zeros(len(at), np.int64)
     rank[order] = np.cumsum(begins) - 1
-    return at, left, right, key, first, bucket[first], rank
+    return at, left, right, first, bucket[first], rank
 
 
 def _with_answers(packs: DataFrame, answers: DataFrame) -> DataFrame:
@@ -286,7 +290,7 @@ def _gather(rows: DataFrame, buckets: int, length: int) -> DataFrame:
                 number = table.column(0)[s].as_py()
                 pack = Pack(table.column(3)[s].as_py(), length)
                 answers = dict(zip(table.column(2).slice(s + 1, e - s - 1).to_pylist(), table.column(3).slice(s + 1, e - s - 1).to_pylist(), strict=True))
-                at, left, right, key, first, bucket, _ = _distinct(pack, buckets, answers)
+                at, left, right, first, bucket, _ = _distinct(pack, buckets, answers)
                 line = np.concatenate([np.zeros(length, np.uint8), pack.block.data, np.zeros(length, np.uint8)])
                 column = np.arange(span)[None, :] - (length - GRAM)
                 id = pack.id[pack.doc[at[first]]]
@@ -299,7 +303,7 @@ def _gather(rows: DataFrame, buckets: int, length: int) -> DataFrame:
                         shape = np.stack([left[own], right[own]], axis=1).astype(np.uint16)
                         grid = line[pack.at[at[own]][:, None] + column + length]
                         grid[(column < -left[own][:, None]) | (column >= right[own][:, None])] = 0
-                        out.append((k, number, _squeeze(id[a:b]), key[own].tobytes(), _squeeze(shape), _squeeze(grid)))
+                        out.append((k, number, _squeeze(id[a:b]), _squeeze(shape), _squeeze(grid, 6)))
                 yield _batch(CONTEXTS, out)
 
     return map_arrow(rows, run, CONTEXTS)
@@ -370,7 +374,9 @@ def _judge(rows: DataFrame, length: int) -> DataFrame:
                 bucket, packs = table.column(0)[s].as_py(), table.column(1).slice(s, e - s).to_pylist()
                 column = lambda k: table.column(k).slice(s, e - s).to_pylist()  # noqa: B023, E731
                 ids = [np.frombuffer(_expand(x), np.int64) for x in column(2)]
-                keys = np.concatenate([np.frombuffer(x, np.uint64) for x in column(3)])
+                shape = np.concatenate([np.frombuffer(_expand(x), np.uint16).reshape(-1, 2) for x in column(3)]).astype(np.int64)
+                grid = np.concatenate([np.frombuffer(_expand(x), np.uint8).reshape(-1, span) for x in column(4)])
+                keys = context_keys(grid.ravel(), np.arange(len(grid)) * span + middle, shape[:, 0], shape[:, 1])
                 id = np.concatenate(ids)
                 sort = np.lexsort((id, keys))
                 k = keys[sort]
@@ -378,8 +384,7 @@ def _judge(rows: DataFrame, length: int) -> DataFrame:
                 number = np.zeros(len(keys), np.int64)
                 number[sort] = np.cumsum(new) - 1
                 first = sort[new]  # a row of each distinct context, with its smallest id
-                shape = np.concatenate([np.frombuffer(_expand(x), np.uint16).reshape(-1, 2) for x in column(4)])[first].astype(np.int64)
-                grid = np.concatenate([np.frombuffer(_expand(x), np.uint8).reshape(-1, span) for x in column(5)])[first]
+                shape, grid = shape[first], grid[first]
                 least = id[first]
                 anchor = grid[:, middle : middle + GRAM].copy().view(">u8").reshape(-1, 2)
                 order = np.lexsort((anchor[:, 1], anchor[:, 0]))
@@ -430,7 +435,7 @@ def _mark(rows: DataFrame, buckets: int, length: int, id: str) -> DataFrame:
                     shared[bucket], verdicts[bucket] = answer, verdict
                 change = np.zeros(len(b.data) + 1, np.int32)
                 if shared:
-                    at, left, right, _, first, bucket, rank = _distinct(pack, buckets, shared)
+                    at, left, right, first, _, rank = _distinct(pack, buckets, shared)
                     word = np.concatenate([np.frombuffer(_expand(verdicts[k]), np.uint64) for k in sorted(verdicts)]) if verdicts else np.zeros(0, np.uint64)
                     if len(word) != len(first):
                         raise ValueError("verdicts do not fit their pack")
@@ -475,9 +480,9 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, id: str = "doc_id
     ship(spark)
     buckets = buckets or BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packs = materialize(_pack(documents, id, text), "packs")
-    shared = materialize(_share(_spread(packs, buckets, length).repartition("bucket").sortWithinPartitions("bucket")), "shared")
+    shared = materialize(_share(_spread(packs, buckets, length).repartition("bucket").sortWithinPartitions("bucket")), "shared", release=True)
     contexts = _gather(_with_answers(packs, shared), buckets, length)
-    verdicts = materialize(_judge(contexts.repartition("bucket").sortWithinPartitions("bucket"), length), "verdicts")
+    verdicts = materialize(_judge(contexts.repartition("bucket").sortWithinPartitions("bucket"), length), "verdicts", release=True)
     answers = shared.join(verdicts, ["pack", "bucket"])
     return _mark(_with_answers(packs, answers), buckets, length, id)
 
