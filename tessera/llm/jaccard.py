@@ -163,8 +163,8 @@ def _prune(sig: np.ndarray, sizes: np.ndarray, band: np.ndarray, i: np.ndarray,
 
 
 def _candidates(members: DataFrame, limits: list[tuple[int, int]], threshold: Fraction) -> DataFrame:
-    """Surviving pairs as lists (g1, g2, left, right), and a row (g1, g2, node) for each node in them; g1, g2 are the nodes' blocks."""
-    schema = T.StructType([T.StructField("g1", T.LongType()), T.StructField("g2", T.LongType()), T.StructField("node", T.LongType()), T.StructField("left", T.ArrayType(T.LongType())), T.StructField("right", T.ArrayType(T.LongType()))])
+    """Surviving pairs as lists (g1, g2, left, right); g1 and g2 are the nodes' blocks."""
+    schema = T.StructType([T.StructField("g1", T.LongType()), T.StructField("g2", T.LongType()), T.StructField("left", T.ArrayType(T.LongType())), T.StructField("right", T.ArrayType(T.LongType()))])
     budget = 1 << 18  # pairs at a time
 
     def run(batches):
@@ -220,16 +220,40 @@ def _candidates(members: DataFrame, limits: list[tuple[int, int]], threshold: Fr
             cuts = np.unique(np.concatenate([bounds, np.arange(0, len(i), budget)]))
             at = pa.array(cuts, pa.int32())
             first = cuts[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(g1[first]), pa.array(g2[first]), pa.nulls(len(first), pa.int64()), pa.ListArray.from_arrays(at, pa.array(node[i])), pa.ListArray.from_arrays(at, pa.array(node[j]))], names=schema.names)
-            own = np.stack([np.tile(g1, 2), np.tile(g2, 2), np.concatenate([node[i], node[j]])])
-            own = own[:, np.lexsort(own[::-1])]
-            own = own[:, np.concatenate([[True], (own[:, 1:] != own[:, :-1]).any(axis=0)])]
-            none = pa.nulls(own.shape[1], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in own), none, none], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(g1[first]), pa.array(g2[first]), pa.ListArray.from_arrays(at, pa.array(node[i])), pa.ListArray.from_arrays(at, pa.array(node[j]))], names=schema.names)
 
     return map_arrow(members, run, schema)
 
 
+def _members(lists: DataFrame) -> DataFrame:
+    """(g1, g2, node): each node of a block pair's lists once.  Lists are merged before there is a row for each node."""
+    schema = T.StructType([T.StructField("g1", T.LongType()), T.StructField("g2", T.LongType()), T.StructField("node", T.LongType())])
+
+    def run(batches):
+        now, held = None, np.zeros(0, np.int64)
+        for batch in batches:
+            found = [[], [], []]
+
+            def put():
+                for to, x in zip(found, (np.full(len(held), now[0]), np.full(len(held), now[1]), held), strict=True):  # noqa: B023
+                    to.append(x)
+
+            for g1, g2, left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                own = np.unique(np.concatenate([left.values.to_numpy(), right.values.to_numpy()]))
+                if now == (g1, g2):
+                    held = np.union1d(held, own)
+                    continue
+                if now is not None:
+                    put()
+                now, held = (g1, g2), own
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], names=schema.names)
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), now[0])), pa.array(np.full(len(held), now[1])), pa.array(held)], names=schema.names)
+
+    return map_arrow(lists.select("g1", "g2", "left", "right").repartition("g1", "g2").sortWithinPartitions("g1", "g2"), run, schema)
+
+
 def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """|sets[i] & sets[j]| for each pair."""
     if len(i) < 2 * len(sets):
@@ -331,11 +355,11 @@ def jaccard_classes(documents: DataFrame, id: str = "doc_id", text: str = "text"
     grouped = dealt.repartition("bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2")
     found = materialize(_candidates(grouped, limits, threshold), "candidates", release=True)
 
-    needed = found.where("node IS NOT NULL").select("g1", "g2", "node").distinct().join(nodes.select("node", "first_id", "copies"), "node")
+    needed = _members(found).join(nodes.select("node", "first_id", "copies"), "node")
     texts = documents.select(F.col(id).cast("long").alias("first_id"), F.col(text).alias("text"))
     none = F.lit(None).cast("array<bigint>")
     sets = needed.join(texts, "first_id").select("g1", "g2", F.lit(0).alias("kind"), "node", "copies", "text", none.alias("left"), none.alias("right"))
-    lists = found.where("node IS NULL").select("g1", "g2", F.lit(1).alias("kind"), "node", F.lit(None).cast("bigint").alias("copies"), F.lit(None).cast("string").alias("text"), "left", "right")
+    lists = found.select("g1", "g2", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("node"), F.lit(None).cast("bigint").alias("copies"), F.lit(None).cast("string").alias("text"), "left", "right")
     verified = materialize(_verify(sets.unionByName(lists).repartition("g1", "g2").sortWithinPartitions("g1", "g2", "kind"), threshold), "verified")
 
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
