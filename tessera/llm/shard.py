@@ -12,7 +12,7 @@ rows equal in all three are interchangeable; an empty table gives no shards.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._state import materialize
@@ -43,6 +43,12 @@ def with_offsets(df: DataFrame, order: list[str], size: str, by: list[str] | Non
     return joined.select(*(local[c] for c in df.columns), (F.col("__rank") + F.col("__rows0")).alias("rank"), (F.col("__offset") + F.col("__bytes0")).alias("offset"))
 
 
+def shard_of(total: int, shards: int) -> Column:
+    """The shard in which the middle of a row lies, from its ``offset`` and ``size``; 64-bit integers throughout."""
+    # Twice the middle is 2 * offset + size.
+    return F.expr(f"int(least({shards - 1}L, ((2L * offset + size) * {shards}L) div (2L * {total}L)))")
+
+
 def assign_shards(df: DataFrame, shards: int = 24, id: str = "doc_id", text: str = "text", keep: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """``df``'s columns ``keep`` (default: the id) with size, text_crc32, shard and slot (the row's place in its shard)."""
     keep = [id] if keep is None else keep
@@ -50,7 +56,6 @@ def assign_shards(df: DataFrame, shards: int = 24, id: str = "doc_id", text: str
     sized = df.select(*keep, *([] if id in keep else [id]), (F.octet_length(raw).cast("long") + ROW_BYTES).alias("size"), F.crc32(raw).alias("text_crc32"))
     placed = with_offsets(sized, [id, "text_crc32", "size"], "size", parts=parts)
     total = placed.agg(F.sum("size")).first()[0] or 1
-    # The shard in which the middle of a row lies; integers throughout, and twice the middle is 2 * offset + size.
-    sharded = placed.withColumn("shard", F.expr(f"int(least({shards - 1}, ((2 * offset + size) * {shards}) div (2 * {total})))"))
+    sharded = placed.withColumn("shard", shard_of(total, shards))
     first = sharded.groupBy("shard").agg(F.min("rank").alias("__first"))  # a row for each shard
     return sharded.join(F.broadcast(first), "shard").select(*keep, "size", "text_crc32", "shard", (F.col("rank") - F.col("__first")).alias("slot"))

@@ -447,6 +447,12 @@ def test_shards_against_brute_force(spark, documents):
         assert got == brute_shards(rows, 24)
 
 
+def test_shards_of_a_hundred_terabytes(spark):
+    total = 10**14
+    rows = spark.createDataFrame([(0, 8), (total // 2, 100), (total - 50, 50)], "offset long, size long")
+    assert [r[0] for r in rows.select(shard.shard_of(total, 24)).collect()] == [0, 12, 23]
+
+
 def test_shards_awkward(spark, awkward):
     rows = shard.assign_shards(awkward, 3).collect()
     assert len(rows) == 9
