@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -42,16 +45,45 @@ def reassemble(pieces: DataFrame, id: str = "id") -> DataFrame:
     return pieces.groupBy(id).agg(F.unhex(F.array_join(ordered, "")).alias("content"))
 
 
-def neighbours(bodies: DataFrame, body: str = "body", buckets: int | None = None) -> DataFrame:
-    """DD-1, 2: each body's neighbours below and above in the order of their bytes."""
-    w = Window.orderBy(body) if buckets is None else Window.partitionBy(F.substring(F.col(body), 1, buckets)).orderBy(body)
-    return bodies.withColumn("low", F.lag(body).over(w)).withColumn("high", F.lead(body).over(w))
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, so that rows stay in the partitions they were dealt to."""
+    spark = df.sparkSession
+    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + os.path.join(tempfile.gettempdir(), 'tessera-checkpoints')).rstrip('/')}/dealt-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
 
+def neighbours(bodies: DataFrame, body: str = "body", buckets: int | None = None) -> DataFrame:
+    """DD-1, 2: each body's neighbours below and above in the order of their bytes.
 
-def common_prefix(a: Column, b: Column, most: int) -> Column:
-    """DD-3: how many leading characters two strings share, up to ``most``."""
-    same = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda i: (F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)) & (F.length(a) >= i) & (F.length(b) >= i))
-    return F.size(same)
+    Bodies are dealt by ranges, so no task holds all of them; at the border of a range
+    stand the last body of the nearest range below and the first of that above.
+    """
+    if buckets is not None:
+        w = Window.partitionBy(F.substring(F.col(body), 1, buckets)).orderBy(body)
+        return bodies.withColumn("low", F.lag(body).over(w)).withColumn("high", F.lead(body).over(w))
+    n = int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _kept(bodies.repartitionByRange(n, body).withColumn("__part", F.spark_partition_id()))
+    w, borders = Window.partitionBy("__part").orderBy(body), Window.orderBy("__part")
+    # One row for each partition that has bodies.
+    ends = dealt.groupBy("__part").agg(F.min(body).alias("__first"), F.max(body).alias("__last"))
+    ends = ends.select("__part", F.lag("__last").over(borders).alias("__below"), F.lead("__first").over(borders).alias("__above"))
+    # A null is the lowest body and no neighbour's absence: the row's place tells where a range ends.
+    inside = dealt.withColumn("low", F.lag(body).over(w)).withColumn("high", F.lead(body).over(w)).withColumn("__at", F.row_number().over(w)).withColumn("__of", F.count(F.lit(1)).over(Window.partitionBy("__part")))
+    low = F.when(F.col("__at") == 1, F.col("__below")).otherwise(F.col("low"))
+    high = F.when(F.col("__at") == F.col("__of"), F.col("__above")).otherwise(F.col("high"))
+    return inside.join(F.broadcast(ends), "__part").select(*bodies.columns, low.alias("low"), high.alias("high"))
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """DD-3: how many leading characters two strings share; null if one of them is."""
+    most = F.least(F.length(a), F.length(b))
+
+    def longer(n: Column, step: Column) -> Column:
+        # What is shared so far grows by half as much each time, if that much more is alike.
+        return F.when((n + step <= most) & (F.substring(a, n + F.lit(1), step) == F.substring(b, n + F.lit(1), step)), n + step).otherwise(n)
+
+    return F.when(a.isNotNull() & b.isNotNull(), F.aggregate(F.array(*(F.lit(1 << k) for k in range(30, -1, -1))), F.lit(0), longer))
 
 
 class Dictionary:

@@ -113,7 +113,7 @@ def _(spark, d):
 def _(spark, d):
     bodies = D.neighbours(V.objects(spark, d).select(F.substring("text", 1, 200).alias("body")).distinct())
     low = F.coalesce("low", F.lit(""))
-    return bodies.withColumn("shared", D.common_prefix(F.col("body"), low, 64).cast("long")).select(F.md5("body").alias("body"), "shared")
+    return bodies.withColumn("shared", F.least(D.common_prefix(F.col("body"), low), F.lit(64)).cast("long")).select(F.md5("body").alias("body"), "shared")
 
 
 def _greedy(spark, d):
