@@ -8,9 +8,11 @@ from every text that may be learned from; each language's n-grams are stored as
 sorted arrays of their 64-bit hashes.  A text belongs to the language with the
 lowest cross-entropy for each character.
 
-Rejection is calibrated on texts the models were learned from: a text whose
+Rejection is calibrated on all texts the models were learned from: a text whose
 cross-entropy lies above what all but a small share of its language's texts have,
 with a margin that widens for short texts, is rejected, as is one without letters.
+Of a language with few texts, whose own say little, the limit is at least that of
+the texts of all languages together.
 
 Defined cases: a null text, an empty one and one without letters get ``und`` with
 score 0 and are rejected; rows with a null language or null id teach nothing; of
@@ -20,9 +22,11 @@ text to learn from every text is ``und``.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +36,11 @@ ORDER = 4
 BITS = 6
 CLASSES = 1 << BITS
 UNKNOWN = "und"
-#: Texts on which score and rejection are calibrated.
-CALIBRATION_TEXTS = 2000
+#: Calibration counts texts by cross-entropy in steps of 1 / BINS bit.
+BINS = 256
+#: With fewer texts than this, no text of a language lies beyond the share that may be rejected.
+FEW_TEXTS = 1000
+SHARPNESS = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0)
 #: The share of a language's own texts that may lie beyond its limit, and the room left above it.
 REJECTED_SHARE, ROOM_BITS, SHORT_TEXT_BITS = 0.001, 1.5, 12.0
 
@@ -233,8 +240,8 @@ class Model:
         }
 
 
-def learn(documents: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", calibration_texts: int = CALIBRATION_TEXTS) -> Model:
-    """Models counted over all of ``documents``, calibrated on ``calibration_texts`` of them."""
+def learn(documents: DataFrame, text: str = "text", lang: str = "lang") -> Model:
+    """Models counted over all of ``documents`` and calibrated on all of them."""
     rows = count_grams(documents, text, lang).toArrow()  # at most 2**24 rows a language, whatever the corpus
     names = np.asarray(rows.column("lang").to_pylist(), object)
     grams, counts = rows.column("gram").to_numpy().astype(np.int64), rows.column("n").to_numpy().astype(np.float64)
@@ -244,12 +251,24 @@ def learn(documents: DataFrame, text: str = "text", lang: str = "lang", id: str
         sort = np.argsort(grams[mine])
         models[name] = KneserNey(grams[mine][sort], counts[mine][sort])
     model = Model(models)
-    if not models:
-        return model
-    labelled = documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    chosen = labelled.select(id, F.xxhash64(F.col(id), F.lit(7)).alias("h")).orderBy("h").limit(calibration_texts).select(id).distinct()
-    sample = labelled.join(F.broadcast(chosen), id).select(F.col(lang).alias("lang"), F.col(text).alias("text"))  # calibration_texts ids at most
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    if models:
+        _calibrate(model, documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text")))
+    return model
+
+
+def _limit(bins: list[tuple[int, int]]) -> float:
+    """The upper edge of the step below which all but REJECTED_SHARE of the texts lie, from (step, texts)."""
+    rest = (1 - REJECTED_SHARE) * sum(n for _, n in bins)
+    for step, n in sorted(bins):
+        rest -= n
+        if rest <= 0:
+            break
+    return (step + 1) / BINS
+
+
+def _calibrate(model: Model, labelled: DataFrame) -> None:
+    """Sets ``model``'s limits and sharpness from every text of ``labelled`` (lang, text)."""
+    sent = labelled.sparkSession.sparkContext.broadcast(model)
 
     def make():
         score = sent.value.scorer()
@@ -260,22 +279,30 @@ def learn(documents: DataFrame, text: str = "text", lang: str = "lang", id: str
 
         return bits
 
-    seen = with_text_columns(sample, "text", [T.StructField("bits", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())], make, ["lang"]).where("n > 0").collect()
-    if not seen:
-        return model
-    bits = np.array([r["bits"] for r in seen])
-    sizes = np.array([r["n"] for r in seen])
-    truth = np.array([model.langs.index(r["lang"]) for r in seen])
-    for k in range(len(model.langs)):
-        if (mine := truth == k).any():
-            model.limits[k] = np.quantile(bits[mine, k] / sizes[mine] - SHORT_TEXT_BITS / np.sqrt(sizes[mine]), 1 - REJECTED_SHARE)
-    best = np.inf
-    for sharpness in (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0):
-        p = -sharpness * (bits - bits.min(axis=1, keepdims=True)) * np.log(2)
-        loss = float(np.mean(np.log(np.exp(p).sum(axis=1)) - p[np.arange(len(p)), truth]))
-        if loss < best - 1e-9:
-            best, model.sharpness = loss, sharpness
-    return model
+    seen = with_text_columns(labelled, "text", [T.StructField("bits", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())], make, ["lang"]).where("n > 0")
+    order = F.array(*(F.lit(x) for x in model.langs))
+    seen = seen.withColumn("own", F.get("bits", F.array_position(order, F.col("lang")).cast("int") - 1)).withColumn("low", F.array_min("bits"))
+    step = F.floor((F.col("own") / F.col("n") - SHORT_TEXT_BITS / F.sqrt("n")) * BINS)
+
+    def loss(sharpness: float) -> Column:
+        """-ln of the share that a text's own language gets."""
+        odds = F.aggregate("bits", F.lit(0.0), lambda total, b: total + F.exp((F.col("low") - b) * (sharpness * math.log(2))))
+        return F.log(odds) + (F.col("own") - F.col("low")) * (sharpness * math.log(2))
+
+    # Some thousand steps a language at most, whatever the corpus.
+    rows = seen.groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("texts"), *(F.sum(loss(x)).alias(f"loss{k}") for k, x in enumerate(SHARPNESS))).collect()
+    if not rows:
+        return
+    pooled = _limit([(r["step"], r["texts"]) for r in rows])
+    for k, name in enumerate(model.langs):
+        own = [(r["step"], r["texts"]) for r in rows if r["lang"] == name]
+        few = sum(n for _, n in own) < FEW_TEXTS
+        model.limits[k] = max(pooled, _limit(own) if own else pooled) if few else _limit(own)
+    total, best = sum(r["texts"] for r in rows), np.inf
+    for k, sharpness in enumerate(SHARPNESS):
+        mean = sum(r[f"loss{k}"] for r in rows) / total
+        if mean < best - 1e-9:
+            best, model.sharpness = mean, sharpness
 
 
 FOUND = [

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy."""
 
+import base64
 import hashlib
 import random
 import re
@@ -426,6 +427,32 @@ def test_foreign_text_is_rejected(spark, documents, docs_of):
     assert all(r["rejected"] for r in language.identify(strange, model).collect())
 
 
+def test_rare_language_has_a_limit(spark, documents, docs_of):
+    # 2,200 texts of the common languages; the rare one's id has the highest hash of all.
+    common = documents.crossJoin(spark.range(11).withColumnRenamed("id", "k")).withColumn("doc_id", F.expr("doc_id * 11 + k")).drop("k").where("text IS NOT NULL")
+    rare = spark.range(100000, 200000).orderBy(F.xxhash64("id", F.lit(7)).desc()).first()["id"]
+    text = "Ala ma kota, a kot ma Ale."
+    learned = common.unionByName(docs_of([(rare, text, "pl")]).select(*common.columns))
+    model = language.learn(learned)
+    assert "pl" in model.langs and np.isfinite(model.limits).all()
+    r = random.Random(5)
+    junk = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(2000)), base64.b64encode(r.randbytes(1500)).decode()]
+    rows = {x["doc_id"]: x for x in language.identify(docs_of([(0, junk[0]), (1, junk[1]), (2, text)]), model).collect()}
+    assert rows[0]["rejected"] and rows[1]["rejected"] and not rows[2]["rejected"]
+
+
+def test_limits_count_every_text(spark, docs_of):
+    plain = "the cat sat on the mat and the dog lay on the rug by the door of the house. "
+    r = random.Random(3)
+    ids = [x["id"] for x in spark.range(3000).orderBy(F.xxhash64("id", F.lit(7)).desc()).collect()]
+    # The odd texts, one in a hundred, have the highest hashes.
+    odd = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(600)) for _ in range(30)]
+    model = language.learn(docs_of([(i, odd[k] if k < 30 else plain * 8) for k, i in enumerate(ids)]))
+    rows = language.identify(docs_of(list(enumerate(odd))), model).select("cross_entropy", "rejected").collect()
+    assert not any(x["rejected"] for x in rows)
+    assert model.limits[0] > min(x["cross_entropy"] for x in rows) - 1 > 2
+
+
 # -- 8: shards
 
 
