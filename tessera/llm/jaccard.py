@@ -336,6 +336,11 @@ def jaccard_classes(documents: DataFrame, id: str = "doc_id", text: str = "text"
     n_links counts the other rows of similarity ``threshold`` or more; class_id is
     the smallest id among all that links connect.
     """
+    return _labelled(documents, id, text, threshold, tolerance, block).drop("__label")
+
+
+def _labelled(documents: DataFrame, id: str, text: str, threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """jaccard_classes with ``__label``: one number for each class, also where classes share an id; null without shingles."""
     spark = documents.sparkSession
     ship(spark)
     rows = materialize(_describe(documents, id, text), "shingled")
@@ -366,16 +371,18 @@ def jaccard_classes(documents: DataFrame, id: str = "doc_id", text: str = "text"
     labels = connected_components(verified.where("node <> centre"), "node", "centre")
     joined = nodes.select("node", "first_id", "copies").join(links, "node").join(labels, "node")
     first = joined.groupBy("label").agg(F.min("first_id").alias("class_first"))
-    linked = joined.join(first, "label").select("node", "links", "class_first")
-    known = nodes.select("node", "first_id", "copies").join(linked, "node", "left").select("node", F.coalesce("class_first", "first_id").alias("class_first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    linked = joined.join(first, "label").select("node", "links", "class_first", "label")
+    known = nodes.select("node", "first_id", "copies").join(linked, "node", "left").select("node", F.coalesce("class_first", "first_id").alias("class_first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("label", "node").alias("label"))
     own = rows.select("id", "text_hash", F.when(F.col("id").isNotNull(), F.col("node")).alias("node"))
-    return own.join(known, "node", "left").select(F.col("id").alias(id), F.coalesce("class_first", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "text_hash")
+    return own.join(known, "node", "left").select(F.col("id").alias(id), F.coalesce("class_first", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "text_hash", F.col("label").alias("__label"))
 
 
 def keep_first(documents: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each class, that with the smallest id, with all columns; rows with a null id stay."""
-    classes = jaccard_classes(documents, id, text, **options).where(F.col(id).isNotNull())
-    first = classes.groupBy("class_id").agg(F.min(F.struct(id, "text_hash")).alias("first")).select(F.col(f"first.{id}").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    classes = _labelled(documents, id, text, **options).where(F.col(id).isNotNull())
+    # Texts without shingles have no links: each id and text of theirs is a class.
+    alone = F.when(F.col("__label").isNull(), F.struct(id, "text_hash"))
+    first = classes.groupBy("__label", alone.alias("alone")).agg(F.min(F.struct(id, "text_hash")).alias("first")).select(F.col(f"first.{id}").alias("__id"), F.col("first.text_hash").alias("__hash"))
     marked = documents.withColumn("__hash", F.xxhash64(F.col(text))).withColumn("__id", F.col(id).cast("long"))
     # A row repeated as it is has the same id and text hash: one of it stays.
     kept = marked.join(first.distinct(), ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])

@@ -174,6 +174,12 @@ def test_jaccard_awkward(spark, awkward):
     assert jaccard.jaccard_classes(awkward.limit(0)).count() == 0
 
 
+def test_unlike_texts_of_one_id_both_stay(spark, docs_of):
+    a, b = "one two three four five six seven eight nine ten " * 3, "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3
+    kept = jaccard.keep_first(docs_of([(1, a), (1, b), (2, a), (3, b), (4, ""), (4, "..."), (4, "...")]))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, a), (1, b), (4, ""), (4, "...")])
+
+
 def test_pruning_keeps_the_threshold():
     """After n values, pairs at the threshold fall below the least number of matches next to never, unlike ones nearly always."""
     r = np.random.default_rng(8)
