@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 PAGE = 8192
 
 
@@ -101,8 +103,7 @@ def parse_range(header: Column, size: Column) -> tuple[Column, Column]:
 def allocate(writes: DataFrame, align: int = PAGE, by: str = "storage_id", order: str = "seq") -> DataFrame:
     """SNK-3: append-log offsets: the running sum of sizes, each rounded up to ``align``."""
     padded = F.expr(f"((size + {align - 1}) div {align}) * {align}")
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return writes.withColumn("offset", F.sum(padded).over(w) - padded)
+    return ranks.with_offsets(writes.withColumn("__padded", padded), [by, order], "__padded", by=[by], rank="__rank").drop("__padded", "__rank")
 
 
 def files_of(allocations: DataFrame, file_bytes: int) -> DataFrame:

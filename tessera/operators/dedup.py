@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -13,12 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.shared import materialize
 from .caches import Lfu
+from .ranks import with_offsets
 
 # Bytes by which the dictionary is ordered first, the length that a match must exceed, and that of a new fragment at most.
 PREFIX, MIN_MATCH, MAX_FRAGMENT = 16, 32, 8192
 #: Bytes of one call: what a call adds is not seen before the next.
 CALL_BYTES = 64 << 20
+#: Fragments that a dictionary holds, and as many headers; 256 MiB of either at most.
+CAPACITY = 1 << 15
 
 
 def chunks(objects: DataFrame, size: int = MAX_FRAGMENT, id: str = "id", content: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -45,14 +46,6 @@ def reassemble(pieces: DataFrame, id: str = "id") -> DataFrame:
     return pieces.groupBy(id).agg(F.unhex(F.array_join(ordered, "")).alias("content"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, so that rows stay in the partitions they were dealt to."""
-    spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + os.path.join(tempfile.gettempdir(), 'tessera-checkpoints')).rstrip('/')}/dealt-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def neighbours(bodies: DataFrame, body: str = "body", buckets: int | None = None) -> DataFrame:
     """DD-1, 2: each body's neighbours below and above in the order of their bytes.
 
@@ -63,7 +56,7 @@ def neighbours(bodies: DataFrame, body: str = "body", buckets: int | None = None
         w = Window.partitionBy(F.substring(F.col(body), 1, buckets)).orderBy(body)
         return bodies.withColumn("low", F.lag(body).over(w)).withColumn("high", F.lead(body).over(w))
     n = int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _kept(bodies.repartitionByRange(n, body).withColumn("__part", F.spark_partition_id()))
+    dealt = materialize(bodies.repartitionByRange(n, body).withColumn("__part", F.spark_partition_id()), "dealt")
     w, borders = Window.partitionBy("__part").orderBy(body), Window.orderBy("__part")
     # One row for each partition that has bodies.
     ends = dealt.groupBy("__part").agg(F.min(body).alias("__first"), F.max(body).alias("__last"))
@@ -76,7 +69,7 @@ def neighbours(bodies: DataFrame, body: str = "body", buckets: int | None = None
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """DD-3: how many leading characters two strings share; null if one of them is."""
+    """DD-3: how many leading bytes two binaries share (characters of two strings); null if one of them is."""
     most = F.least(F.length(a), F.length(b))
 
     def longer(n: Column, step: Column) -> Column:
@@ -86,6 +79,12 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.aggregate(F.array(*(F.lit(1 << k) for k in range(30, -1, -1))), F.lit(0), longer))
 
 
+def prefix_order(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """DD-2: each body's place among those with its first 16 bytes, in order of all bytes; a prefix that many share is no heavier than others."""
+    marked = bodies.withColumn("__prefix", F.substring(F.col(body).cast("binary"), 1, PREFIX))
+    return with_offsets(marked, ["__prefix", body], by=["__prefix"], offset="__none").drop("__prefix", "__none")
+
+
 class Dictionary:
     """Fragments in order of their first 16 bytes, then of as much of their bodies as the shorter one has.
 
@@ -153,35 +152,46 @@ def learn_call(data: bytes, found: list[tuple[int, int, bytes | None]], dictiona
             dictionary.insert(bytes(data[at : at + n]), header=at == 0)
 
 
-FRAGMENTS = T.StructType([T.StructField("shard", T.LongType()), T.StructField("id", T.LongType()), T.StructField("idx", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("size", T.LongType()), T.StructField("stored", T.BooleanType())])
+FRAGMENTS = T.StructType([T.StructField(n, T.LongType()) for n in ("shard", "id", "call", "idx", "offset", "size")] + [T.StructField("stored", T.BooleanType())])
+
+
+def calls_in_turn(objects: DataFrame, nodes: int, id: str = "id", content: str = "text", call_bytes: int = CALL_BYTES) -> DataFrame:
+    """DD-18, 19: (id, call, shard) of each call: objects in order of id, cut every ``call_bytes``, dealt to the nodes in turn."""
+    sized = objects.select(F.col(id).cast("long").alias("id"), F.expr(f"(octet_length(cast(`{content}` as binary)) + {call_bytes - 1}) div {call_bytes}").cast("long").alias("calls")).where("calls > 0")
+    placed = with_offsets(sized, ["id"], "calls", rank="__rank", offset="first")
+    return placed.select("id", F.explode(F.expr("sequence(0L, calls - 1)")).alias("call"), "first").select("id", "call", F.expr(f"(first + call) % {nodes}").alias("shard"))
 
 
-def greedy_dedup(objects: DataFrame, shard: Column, id: str = "id", content: str = "text", capacity: int | None = None) -> DataFrame:
-    """DD-5, 6, 9, 12, 18: fragments of every object, deduplicated within its shard in order of id.
+def greedy_dedup(objects: DataFrame, shard: Column | None = None, nodes: int = 8, id: str = "id", content: str = "text", capacity: int | None = CAPACITY, call_bytes: int = CALL_BYTES) -> DataFrame:
+    """DD-5, 6, 9, 12, 18, 19: fragments of every object; ids must be distinct.
 
-    Shards have dictionaries of their own, as nodes have; more shards mean more tasks
-    and less found.  A call is an object's next 64 MiB; what it adds is seen by later calls.
+    Objects are cut into calls, which ``nodes`` nodes take in turn, or each object's
+    the node that ``shard`` names.  A node works through its calls in order of id, with a
+    dictionary of its own of ``capacity`` fragments at most, those least used forgotten;
+    what a call adds is seen by the node's later calls.  More nodes mean more tasks and
+    less found.  ``idx`` counts within the call, ``offset`` within the object.
     """
-    source = objects.select(shard.cast("long").alias("shard"), F.col(id).cast("long").alias("id"), F.col(content).cast("binary").alias("content"))
+    source = objects.select(F.col(id).cast("long").alias("id"), F.col(content).cast("binary").alias("__raw"), (F.lit(None) if shard is None else shard).cast("long").alias("shard"))
+    if shard is None:
+        dealt = calls_in_turn(objects, nodes, id, content, call_bytes)
+        source = source.drop("shard").join(dealt, "id")
+    else:
+        source = source.where(F.octet_length("__raw") > 0).withColumn("call", F.explode(F.expr(f"sequence(0L, bigint((octet_length(__raw) - 1) div {call_bytes}))")))
+    cut = source.select("shard", "id", "call", F.substring(F.col("__raw"), (F.col("call") * call_bytes + 1).cast("int"), F.lit(call_bytes)).alias("data"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, dictionary = None, Dictionary(capacity)
         for pdf in batches:
             rows = []
-            for s, i, data in pdf.itertuples(index=False):
+            for s, i, call, data in pdf.itertuples(index=False):
                 if s != now:
                     now, dictionary = s, Dictionary(capacity)
-                idx = 0
-                for begin in range(0, len(data or b""), CALL_BYTES):
-                    call = data[begin : begin + CALL_BYTES]
-                    found = greedy_scan(call, dictionary)
-                    for at, n, body in found:
-                        rows.append((s, i, idx, begin + at, n, body is not None))
-                        idx += 1
-                    learn_call(call, found, dictionary)
+                found = greedy_scan(data, dictionary)
+                rows += [(s, i, call, k, call * call_bytes + at, n, body is not None) for k, (at, n, body) in enumerate(found)]
+                learn_call(data, found, dictionary)
             yield pd.DataFrame(rows, columns=FRAGMENTS.names)
 
-    return source.repartition("shard").sortWithinPartitions("shard", "id").mapInPandas(run, FRAGMENTS)
+    return cut.repartition("shard").sortWithinPartitions("shard", "id", "call").mapInPandas(run, FRAGMENTS)
 
 
 def repair_rejected(fragments: DataFrame, rejected: DataFrame) -> DataFrame:

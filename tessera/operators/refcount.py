@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import with_offsets
+
 STRIPE = 8192
 
 
@@ -41,8 +43,8 @@ def unlink(counts: DataFrame, dropped: DataFrame) -> tuple[DataFrame, DataFrame,
 def runs(stripes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """RC-4: consecutive stripes as runs: the first and how many."""
     by = ["storage_id"] if by is None else by
-    island = F.col("stripe_id") - F.row_number().over(Window.partitionBy(*by).orderBy("stripe_id"))
-    return stripes.withColumn("__island", island).groupBy(*by, "__island").agg(F.min("stripe_id").alias("first_stripe"), F.count(F.lit(1)).alias("n")).drop("__island")
+    ranked = with_offsets(stripes.select(*by, "stripe_id"), [*by, "stripe_id"], by=by, rank="__rank", offset="__none")
+    return ranked.groupBy(*by, (F.col("stripe_id") - F.col("__rank")).alias("__island")).agg(F.min("stripe_id").alias("first_stripe"), F.count(F.lit(1)).alias("n")).drop("__island")
 
 
 def freed_bytes(freed_runs: DataFrame, offsets: DataFrame, stripe: int = STRIPE) -> DataFrame:

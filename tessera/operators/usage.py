@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import with_offsets
+
 GIB = 1 << 30
 
 
@@ -37,8 +39,8 @@ def usage_by_interval(versions: DataFrame, start: int, end: int, step: int = 360
 
 def check_limits(writes: DataFrame, cap: int, warn_at: float = 0.8, by: str = "bucket", order: str = "id") -> DataFrame:
     """BG-3: the bytes stored after each write, whether it is refused, and whether it deserves a warning."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    after = writes.withColumn("stored", F.sum("size").over(w))
+    placed = with_offsets(writes, [by, order], "size", by=[by], rank="__rank", offset="__before")
+    after = placed.withColumn("stored", F.col("__before") + F.col("size")).drop("__rank", "__before")
     return after.withColumn("refused", F.col("stored") > cap).withColumn("warned", (F.col("stored") <= cap) & (F.col("stored") > int(cap * warn_at)))
 
 

@@ -66,7 +66,13 @@ def _(spark, d):
     return C.put_disabled(commands)
 
 
-@query("ct08_fold_commands")
+@query(
+    "ct08_fold_commands",
+    V.with_(V.V_VERSIONS, V.V_BUCKETS)
+    + """, c AS (SELECT v.bucket_id, v.name, v.id, v.size, v.status = 'Deleted' AS gone, b.versioning = 'Enabled' AS kept, lead(v.id) OVER (PARTITION BY v.bucket_id, v.name ORDER BY v.id) AS later FROM v_versions v JOIN v_buckets b ON b.id = v.bucket_id)
+    SELECT bucket_id, name, id, CASE WHEN gone OR (NOT kept AND later IS NOT NULL) THEN 'Deleted' ELSE 'Normal' END AS status, kept AS sticky, gone AS marker, CASE WHEN gone THEN 0 ELSE size END AS size
+    FROM c WHERE kept OR NOT gone""",
+)
 def _(spark, d):
     """Puts and deletes of every name under its bucket's versioning, one after the other."""
     mode = V.buckets(spark, d).selectExpr("id as bucket_id", "versioning")
@@ -96,10 +102,12 @@ def _(spark, d):
     return C.get_object(V.versions(spark, d), V.buckets(spark, d))
 
 
-@query("ct10_get_by_version", V.with_(V.V_VERSIONS) + "SELECT * FROM v_versions WHERE id % 97 = 0")
+@query("ct10_get_by_version", V.with_(V.V_VERSIONS) + "SELECT * FROM v_versions")
 def _(spark, d):
+    """Every version looked up, and as many that are not there."""
     v = V.versions(spark, d)
-    return C.get_object_by_version(v, v.where("id % 97 = 0").select("bucket_id", "name", "version"))
+    wanted = v.select("bucket_id", "name", "version")
+    return C.get_object_by_version(v, wanted.unionByName(wanted.withColumn("version", F.concat("version", F.lit("x")))))
 
 
 @query("ct11_delete_disabled", V.with_(V.V_VERSIONS) + "SELECT id, name, CASE WHEN status = 'Normal' AND name LIKE 'u1/%' THEN 'Deleted' ELSE status END AS status FROM v_versions")

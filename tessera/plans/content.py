@@ -87,55 +87,79 @@ def _(spark, d):
     return _pieces(spark, d).groupBy((F.col("idx") == 0).alias("is_header")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.md5("chunk")).alias("n_distinct"))
 
 
-_BODIES = "SELECT DISTINCT substr(text, 1, 200) AS body FROM v_objects"
+_BODIES = "SELECT DISTINCT text AS body FROM v_objects"
+
+
+def _bodies(spark, d):
+    return V.objects(spark, d).select(F.col("text").alias("body")).distinct()
 
 
 @query("dd01_neighbours", V.with_(V.V_OBJECTS) + f"SELECT md5(body) AS body, md5(lag(body) OVER (ORDER BY body)) AS low, md5(lead(body) OVER (ORDER BY body)) AS high FROM ({_BODIES})")
 def _(spark, d):
-    bodies = V.objects(spark, d).select(F.substring("text", 1, 200).alias("body")).distinct()
-    return D.neighbours(bodies).select(*(F.md5(c).alias(c) for c in ("body", "low", "high")))
+    return D.neighbours(_bodies(spark, d)).select(*(F.md5(c).alias(c) for c in ("body", "low", "high")))
 
 
-@query("dd02_order", V.with_(V.V_OBJECTS) + f"SELECT md5(body) AS body, row_number() OVER (PARTITION BY substr(body, 1, 16) ORDER BY body)::BIGINT AS rank FROM ({_BODIES})")
+@query("dd02_order", V.with_(V.V_OBJECTS) + f"SELECT md5(body) AS body, row_number() OVER (PARTITION BY encode(body)[1:16] ORDER BY body)::BIGINT AS rank FROM ({_BODIES})")
 def _(spark, d):
-    """Bodies that agree in their first 16 characters, in order of the rest."""
-    from pyspark.sql import Window
-
-    bodies = V.objects(spark, d).select(F.substring("text", 1, 200).alias("body")).distinct()
-    w = Window.partitionBy(F.substring("body", 1, 16)).orderBy("body")
-    return bodies.select(F.md5("body").alias("body"), F.row_number().over(w).cast("long").alias("rank"))
+    """Bodies that agree in their first 16 bytes, in order of the rest."""
+    return D.prefix_order(_bodies(spark, d)).select(F.md5("body").alias("body"), (F.col("rank") + 1).alias("rank"))
 
 
 @query(
     "dd03_lcp",
-    V.with_(V.V_OBJECTS) + f"SELECT md5(body) AS body, len(list_filter(range(1, 65), lambda i: low IS NOT NULL AND substr(body, 1, i) = substr(low, 1, i) AND length(body) >= i AND length(low) >= i))::BIGINT AS shared FROM (SELECT body, lag(body) OVER (ORDER BY body) AS low FROM ({_BODIES}))",
+    V.with_(V.V_OBJECTS)
+    + f"""SELECT md5(body) AS body, coalesce(list_position(list_transform(list_zip(string_split(hex(encode(body)), ''), string_split(hex(encode(low)), '')), lambda x: x[1] IS DISTINCT FROM x[2]), TRUE) - 1, octet_length(encode(body)) * 2) // 2 AS shared
+    FROM (SELECT body, lag(body, 1, '') OVER (ORDER BY body) AS low FROM ({_BODIES}))""",
 )
 def _(spark, d):
-    bodies = D.neighbours(V.objects(spark, d).select(F.substring("text", 1, 200).alias("body")).distinct())
-    low = F.coalesce("low", F.lit(""))
-    return bodies.withColumn("shared", F.least(D.common_prefix(F.col("body"), low), F.lit(64)).cast("long")).select(F.md5("body").alias("body"), "shared")
+    """Leading bytes that each body shares with the one below."""
+    raw = lambda c: F.coalesce(c, F.lit("")).cast("binary")
+    found = D.neighbours(_bodies(spark, d)).withColumn("shared", D.common_prefix(raw(F.col("body")), raw(F.col("low"))).cast("long"))
+    return found.select(F.md5("body").alias("body"), "shared")
 
 
-def _greedy(spark, d):
-    return D.greedy_dedup(V.objects(spark, d), F.expr("pmod(xxhash64(bucket), 8)"))
+def _twice(objects):
+    """Every object and, as the next call of a node of its own, its copy."""
+    return objects.select(F.expr("id * 2").alias("id"), "text").unionByName(objects.select(F.expr("id * 2 + 1").alias("id"), "text"))
 
 
-@query("dd05_greedy_invariants", V.with_(V.V_OBJECTS) + "SELECT id, size AS raw, TRUE AS matches_longer, TRUE AS new_within_limit, TRUE AS contiguous FROM v_objects WHERE size > 0")
+@query(
+    "dd05_greedy_copies",
+    V.with_(V.V_OBJECTS)
+    + """, t AS (SELECT id, size, (size + 8191) // 8192 AS n, (size - 1) % 8192 + 1 AS tail FROM v_objects WHERE size > 0)
+    SELECT id, 0 AS copy, size AS raw, size AS effective, n, 0 AS n_stored, TRUE AS contiguous FROM t
+    UNION ALL SELECT id, 1, size, CASE WHEN tail <= 32 THEN tail ELSE 0 END, n, n - CASE WHEN tail <= 32 THEN 1 ELSE 0 END, TRUE FROM t""",
+)
 def _(spark, d):
-    """Greedy fragments cover every object without gaps; references exceed 32 bytes and new fragments stay within 8 KiB."""
+    """An object is all new data the first time; its copy is references only, but for an end of 32 bytes or fewer."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("id").orderBy("idx")
-    f = _greedy(spark, d).withColumn("next", F.coalesce(F.lag(F.expr("offset + size")).over(w), F.lit(0)))
-    return f.groupBy("id").agg(
-        F.sum("size").alias("raw"), F.bool_and(F.expr("not stored or size > 32")).alias("matches_longer"), F.bool_and(F.expr("stored or size <= 8192")).alias("new_within_limit"), F.bool_and(F.expr("offset = next")).alias("contiguous")
+    f = D.greedy_dedup(_twice(V.objects(spark, d)), F.expr("id div 2"))
+    w = Window.partitionBy("id").orderBy("offset")
+    f = f.withColumn("next", F.coalesce(F.lag(F.expr("offset + size")).over(w), F.lit(0)))
+    found = f.groupBy("id").agg(
+        F.sum("size").alias("raw"), F.sum(F.expr("if(stored, 0, size)")).alias("effective"), F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("stored"), 1)).alias("n_stored"), F.bool_and(F.expr("offset = next")).alias("contiguous")
     )
+    return found.select(F.expr("id div 2").alias("id"), F.expr("int(id % 2)").alias("copy"), "raw", "effective", "n", "n_stored", "contiguous")
+
+
+@query("dd06_own_call_unseen", V.with_(V.V_OBJECTS) + "SELECT id, size * 2 AS raw, size * 2 AS effective FROM v_objects WHERE size > 0")
+def _(spark, d):
+    """An object that holds its text twice finds nothing: a call does not see what it adds itself."""
+    f = D.greedy_dedup(V.objects(spark, d).select("id", F.expr("concat(text, text)").alias("text")), F.col("id"))
+    return f.groupBy("id").agg(F.sum("size").alias("raw"), F.sum(F.expr("if(stored, 0, size)")).alias("effective"))
+
+
+@query("dd18_calls_in_turn", V.with_(V.V_OBJECTS) + "SELECT id, i::BIGINT AS call, (row_number() OVER (ORDER BY id, i) - 1) % 8 AS shard FROM (SELECT id, unnest(range(0, (size + 999) // 1000)) AS i FROM v_objects)")
+def _(spark, d):
+    """Which of eight nodes takes each call, when objects are cut every 1000 bytes."""
+    return D.calls_in_turn(V.objects(spark, d), 8, call_bytes=1000)
 
 
 @query("dd18_sharded")
 def _(spark, d):
-    """Raw and effective bytes of each shard's own dictionary."""
-    return _greedy(spark, d).groupBy("shard").agg(F.sum("size").alias("raw"), F.sum(F.expr("if(stored, 0, size)")).alias("effective"), F.count(F.lit(1)).alias("n"))
+    """Raw and effective bytes and fragments of each of eight nodes, which take the calls in turn."""
+    return D.greedy_dedup(V.objects(spark, d)).groupBy("shard").agg(F.sum("size").alias("raw"), F.sum(F.expr("if(stored, 0, size)")).alias("effective"), F.count(F.lit(1)).alias("n"))
 
 
 _REPAIR = "kind AS (SELECT *, CASE WHEN ptr % 3 = 0 THEN 'UNSTORED' ELSE 'STORED' END AS kind FROM v_fragments)"
@@ -275,8 +299,9 @@ def _(spark, d):
     return A.files_of(A.allocate(_writes(spark, d)), 1 << 24).groupBy("storage_id", "file_no").agg(F.count(F.lit(1)).alias("n"), F.sum("file_size").alias("bytes"))
 
 
-_FAN = "fan AS (SELECT address_id, idx, storage_id, unnest(range(ptr // 8192, (ptr + size - 1) // 8192 + 1)) AS stripe_id FROM v_fragments WHERE size > 0)"
-_COUNTS = "cnt AS (SELECT storage_id, stripe_id, count(*) AS refs FROM fan WHERE address_id % 50 = 0 GROUP BY ALL), odd AS (SELECT storage_id, stripe_id, count(*) AS refs FROM fan WHERE address_id % 20 = 1 GROUP BY ALL)"
+# Half of all fragments are stored, by regions of 64 KiB; the other half is asked for.
+_FAN = "fan AS (SELECT address_id, idx, storage_id, ptr // 65536 % 2 AS side, unnest(range(ptr // 8192, (ptr + size - 1) // 8192 + 1)) AS stripe_id FROM v_fragments WHERE size > 0)"
+_COUNTS = "cnt AS (SELECT storage_id, stripe_id, count(*) AS refs FROM fan WHERE side = 0 GROUP BY ALL), odd AS (SELECT storage_id, stripe_id, count(*) AS refs FROM fan WHERE side = 1 GROUP BY ALL)"
 
 
 @query("rc01_stripe_counts", V.with_(V.V_FRAGMENTS, _FAN) + "SELECT storage_id, stripe_id, count(*) AS refs FROM fan GROUP BY ALL")
@@ -285,8 +310,11 @@ def _(spark, d):
 
 
 def _counts(spark, d):
-    f = V.fragments(spark, d)
-    return R.stripe_counts(f.where("address_id % 50 = 0")), R.stripe_counts(f.where("address_id % 20 = 1"))
+    return R.stripe_counts(_side(spark, d, 0)), R.stripe_counts(_side(spark, d, 1))
+
+
+def _side(spark, d, side):
+    return V.fragments(spark, d).where(f"ptr div 65536 % 2 = {side}")
 
 
 @query("rc02_link_rejects", V.with_(V.V_FRAGMENTS, _FAN, _COUNTS) + "SELECT * FROM odd WHERE (storage_id, stripe_id) NOT IN (SELECT storage_id, stripe_id FROM cnt)")
@@ -325,16 +353,14 @@ def _(spark, d):
 _REFUSED = "ref AS (SELECT storage_id, stripe_id FROM odd WHERE (storage_id, stripe_id) NOT IN (SELECT storage_id, stripe_id FROM cnt))"
 
 
-@query("rc06_rejected_frags", V.with_(V.V_FRAGMENTS, _FAN, _COUNTS, _REFUSED) + "SELECT DISTINCT address_id, idx FROM fan JOIN ref USING (storage_id, stripe_id) WHERE address_id % 20 = 1")
+@query("rc06_rejected_frags", V.with_(V.V_FRAGMENTS, _FAN, _COUNTS, _REFUSED) + "SELECT DISTINCT address_id, idx FROM fan JOIN ref USING (storage_id, stripe_id) WHERE side = 1")
 def _(spark, d):
-    f = V.fragments(spark, d)
-    return R.rejected_fragments(f.where("address_id % 20 = 1"), R.link(*_counts(spark, d))[1]).select("address_id", "idx")
+    return R.rejected_fragments(_side(spark, d, 1), R.link(*_counts(spark, d))[1]).select("address_id", "idx")
 
 
-@query("rc12_rejected_quirk", V.with_(V.V_FRAGMENTS, _FAN, _COUNTS, _REFUSED) + "SELECT DISTINCT address_id, idx FROM fan WHERE address_id % 20 = 1 AND stripe_id IN (SELECT stripe_id FROM ref)")
+@query("rc12_rejected_quirk", V.with_(V.V_FRAGMENTS, _FAN, _COUNTS, _REFUSED) + "SELECT DISTINCT address_id, idx FROM fan WHERE side = 1 AND stripe_id IN (SELECT stripe_id FROM ref)")
 def _(spark, d):
-    f = V.fragments(spark, d)
-    return R.rejected_fragments(f.where("address_id % 20 = 1"), R.link(*_counts(spark, d))[1], compat="reference").select("address_id", "idx")
+    return R.rejected_fragments(_side(spark, d, 1), R.link(*_counts(spark, d))[1], compat="reference").select("address_id", "idx")
 
 
 @query("rc09_get", V.with_(V.V_FRAGMENTS, _FAN, _COUNTS) + "SELECT storage_id, stripe_id, coalesce(cnt.refs, 0) AS refs FROM odd LEFT JOIN cnt USING (storage_id, stripe_id)")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import caches as K
 from ..operators import erasure as E
+from ..operators.ranks import with_offsets
 from . import views as V
 from .registry import query
 
@@ -79,10 +80,8 @@ def _(spark, d):
 @query("ec09_placement", "SELECT s_suppkey, (row_number() OVER (ORDER BY s_suppkey) - 1) % 5 AS slot FROM supplier WHERE s_suppkey % 7 <> 3")
 def _(spark, d):
     """Round robin over live services in order of id."""
-    from pyspark.sql import Window
-
-    live = V.table(spark, d, "supplier").where("s_suppkey % 7 <> 3")
-    return live.select("s_suppkey", ((F.row_number().over(Window.orderBy("s_suppkey")) - 1) % 5).cast("long").alias("slot"))
+    live = V.table(spark, d, "supplier").where("s_suppkey % 7 <> 3").select("s_suppkey")
+    return with_offsets(live, ["s_suppkey"]).select("s_suppkey", (F.col("rank") % 5).alias("slot"))
 
 
 @query("ec10_config", "SELECT p_partkey, coalesce(d + p = s AND d > 0 AND k % nullif(d, 0) = 0, FALSE) AS valid FROM (SELECT p_partkey, p_partkey % 5 AS d, p_partkey % 3 AS p, p_size % 8 AS s, 1024 AS k FROM part)")
@@ -104,7 +103,23 @@ def _hits(rows):
     return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("uses"), F.count(F.when(F.col("hit"), 1)).alias("hits"), F.sum(F.size("evicted")).cast("long").alias("evictions"))
 
 
-@query("ca01_lfu")
+def _replay_sql(entry: str, hit: str, after: str) -> str:
+    """Traces replayed a use at a time, by shard: ``held`` is a list of ``entry`` structs, the one to go first in front."""
+    return f"""WITH RECURSIVE t AS (SELECT user_id % 8 AS shard, json_extract_string(props, '$.k') AS k, floor(value * 10)::BIGINT AS z, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS n FROM events),
+    r(shard, n, held, hits, gone) AS (SELECT DISTINCT shard, 0::BIGINT, []::{entry}[], 0::BIGINT, 0::BIGINT FROM t
+        UNION ALL SELECT shard, n, now, hits + hit::BIGINT, gone + greatest(len(held) + (NOT known)::BIGINT - len(now), 0)
+        FROM (SELECT *, {after} AS now FROM (SELECT r.shard, t.n, t.k, t.z, r.held, r.hits, r.gone, {hit} AS hit, list_contains(list_transform(r.held, lambda x: x.k), t.k) AS known FROM r JOIN t ON t.shard = r.shard AND t.n = r.n + 1)))
+    SELECT shard, max(n) AS uses, max(hits) AS hits, max(gone) AS evictions FROM r GROUP BY shard"""
+
+
+_KNOWN = "list_contains(list_transform(r.held, lambda x: x.k), t.k)"
+_LFU_ENTRY = "STRUCT(u BIGINT, t BIGINT, k VARCHAR)"
+_LFU_AFTER = "CASE WHEN known THEN list_sort(list_transform(held, lambda x: CASE WHEN x.k = k THEN {{'u': {uses}, 't': n, 'k': k}} ELSE x END)) ELSE list_sort(list_append(held, {{'u': 1::BIGINT, 't': n, 'k': k}}))[CASE WHEN len(held) >= 20 THEN 2 ELSE 1 END:] END"
+_LRU_ENTRY = "STRUCT(t BIGINT, k VARCHAR, z BIGINT)"
+_OTHERS = "list_filter(held, lambda x: x.k <> k)"
+
+
+@query("ca01_lfu", _replay_sql(_LFU_ENTRY, _KNOWN, _LFU_AFTER.format(uses="x.u + 1")))
 def _(spark, d):
     return _hits(K.replay(_trace(spark, d), lambda: K.Lfu(20), F.expr("user_id % 8")))
 
@@ -131,16 +146,26 @@ def _(spark, d):
     return K.write_batches(_trace(spark, d), 10, "user_id").select("seq", "flush")
 
 
-@query("ca05_read_cache")
+@query(
+    "ca05_read_cache",
+    _replay_sql(
+        _LRU_ENTRY,
+        "len(list_filter(r.held, lambda x: x.k = t.k AND x.z >= t.z)) > 0",
+        f"list_append({_OTHERS}, {{'t': n, 'k': k, 'z': greatest(z, coalesce(list_max(list_transform(list_filter(held, lambda x: x.k = k), lambda x: x.z)), 0))}})[CASE WHEN len({_OTHERS}) >= 30 THEN 2 ELSE 1 END:]",
+    ),
+)
 def _(spark, d):
     return _hits(K.replay(_trace(spark, d), lambda: K.ReadCache(30), F.expr("user_id % 8")))
 
 
-@query("ca07_lfu_reset")
+@query("ca07_lfu_reset", _replay_sql(_LFU_ENTRY, _KNOWN, _LFU_AFTER.format(uses="1::BIGINT")))
 def _(spark, d):
     return _hits(K.replay(_trace(spark, d), lambda: K.Lfu(20, reset_on_update=True), F.expr("user_id % 8")))
 
 
-@query("ca08_bytes_lru")
+_BYTES = f"list_append({_OTHERS}, {{'t': n, 'k': k, 'z': z}})"
+
+
+@query("ca08_bytes_lru", _replay_sql(_LRU_ENTRY, _KNOWN, f"{_BYTES}[list_min(list_filter(range(1, len({_BYTES}) + 1), lambda i: i = len({_BYTES}) OR list_sum(list_transform({_BYTES}[i:], lambda x: x.z)) <= 2000)):]"))
 def _(spark, d):
     return _hits(K.replay(_trace(spark, d), lambda: K.ByteLru(2000), F.expr("user_id % 8")))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.shared import new_path
 from ..sources import bodies as B
 from ..sources import log as L
 from ..sources import watch as W
@@ -98,15 +99,15 @@ def _(spark, d):
 def _(spark, d):
     """The log written by file and read again."""
     _, payload = _log(spark, d)
-    path = J.shared_folder(spark)
+    path = new_path(spark, "log")
     L.write_log(payload.withColumn("file_no", F.expr("ptr div 100000000")), path)
     return L.read_log(spark, path).selectExpr("cast(storage_id as bigint) as storage_id", "size").groupBy("storage_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
 
 
-@query("src10_watch_snapshot", "SELECT key, revision, value FROM (SELECT 'u' || user_id AS key, max(event_id) AS revision, arg_max(event_type, event_id) AS op, arg_max(floor(value)::BIGINT, event_id) AS value FROM events WHERE event_id <= 8000 AND starts_with('u' || user_id, 'u1') GROUP BY user_id) WHERE op <> 'error'")
+@query("src10_watch_snapshot", "SELECT key, revision, value FROM (SELECT 'u' || user_id AS key, max(event_id) AS revision, arg_max(event_type, event_id) AS op, arg_max(floor(value)::BIGINT, event_id) AS value FROM events WHERE event_id <= (SELECT max(event_id) * 4 // 5 FROM events) AND starts_with('u' || user_id, 'u1') GROUP BY user_id) WHERE op <> 'error'")
 def _(spark, d):
     e = V.table(spark, d, "events").selectExpr("concat('u', user_id) as key", "event_id as revision", "if(event_type = 'error', 'delete', 'put') as op", "cast(floor(value) as bigint) as value")
-    return W.snapshot(e, "u1", 8000)
+    return W.snapshot(e, "u1", e.agg(F.expr("max(revision) * 4 div 5")).first()[0])
 
 
 @query("st_ct19_data_size", V.with_(V.V_VERSIONS) + "SELECT coalesce(sum(size), 0)::BIGINT AS size FROM v_versions WHERE status = 'Normal'")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.catalog import latest, upsert
+from ..operators.ranks import with_offsets
 from . import views as V
 from .registry import query
 
@@ -95,10 +95,10 @@ def _(spark, d):
     return latest(V.versions(spark, d), ["bucket_id", "name"]).where("status = 'Normal'").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("rel16_order", "SELECT o_orderpriority, o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderkey DESC) AS place FROM orders WHERE o_custkey < 50")
+@query("rel16_order", "SELECT o_orderpriority, o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderkey DESC) AS place FROM orders")
 def _(spark, d):
-    rows = _t(spark, d, "orders").where("o_custkey < 50").select("o_orderpriority", "o_orderkey")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("o_orderpriority", F.desc("o_orderkey"))).cast("long"))
+    rows = _t(spark, d, "orders").select("o_orderpriority", "o_orderkey")
+    return with_offsets(rows, ["o_orderpriority", F.desc("o_orderkey")]).select("o_orderpriority", "o_orderkey", (F.col("rank") + 1).alias("place"))
 
 
 @query("rel17_top1", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 1")
@@ -119,7 +119,7 @@ def _(spark, d):
 @query("rel20_insert_returning", "SELECT 100000 + row_number() OVER (ORDER BY c_custkey) AS id, c_name AS name FROM customer WHERE c_nationkey = 5")
 def _(spark, d):
     new = _t(spark, d, "customer").where("c_nationkey = 5")
-    return new.select((F.lit(100000) + F.row_number().over(Window.orderBy("c_custkey"))).cast("long").alias("id"), F.col("c_name").alias("name"))
+    return with_offsets(new.select("c_custkey", "c_name"), ["c_custkey"]).select((F.col("rank") + 100001).alias("id"), F.col("c_name").alias("name"))
 
 
 @query("rel21_upsert", "SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS v FROM customer UNION ALL SELECT 900000 + n_nationkey, 'new' FROM nation")
@@ -157,7 +157,7 @@ def _(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_totalprice") < 1000, "TooCheap").when(F.col("o_orderstatus") == "P", "Pending").alias("violation"))
 
 
-@query("rel27_optional_conditions", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey >= 100 ORDER BY o_orderkey LIMIT 50")
+@query("rel27_optional_conditions", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey >= 100")
 def _(spark, d):
     """Conditions put together from those that are given."""
     given = {"o_orderstatus": ("==", "F"), "o_custkey": (">=", 100), "o_orderpriority": None}
@@ -166,10 +166,10 @@ def _(spark, d):
         if wanted is not None:
             how, value = wanted
             rows = rows.where(F.col(column) == value if how == "==" else F.col(column) >= value)
-    return rows.select("o_orderkey").orderBy("o_orderkey").limit(50)
+    return rows.select("o_orderkey")
 
 
-@query("rel28_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_suppkey < 20")
+@query("rel28_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def _(spark, d):
     c = _t(spark, d, "customer").select(F.col("c_nationkey").alias("k"))
-    return c.intersect(_t(spark, d, "supplier").where("s_suppkey < 20").select("s_nationkey"))
+    return c.intersect(_t(spark, d, "supplier").select("s_nationkey"))

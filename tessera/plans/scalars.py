@@ -99,18 +99,35 @@ def _(spark, d):
     return V.table(spark, d, "documents").select("doc_id", F.md5("text").alias("m"), F.sha2("text", 256).alias("s"))
 
 
-@query("sc13_hmac")
+def _padded(key: str, byte: int) -> str:
+    """A hexadecimal key of 64 bytes at most, filled up and combined with ``byte``, in DuckDB."""
+    return f"unhex(array_to_string(list_transform(range(1, 129, 2), lambda i: lpad(to_hex(xor(coalesce(try_cast('0x' || nullif(substr({key}, i, 2), '') AS INTEGER), 0), {byte})), 2, '0')), ''))"
+
+
+def _hmac_sql(key: str, data: str) -> str:
+    return f"sha256({_padded(key, 0x5C)} || unhex(sha256({_padded(key, 0x36)} || encode({data}))))"
+
+
+@query("sc13_hmac", f"SELECT c_custkey, {_hmac_sql('k', 'c_mktsegment')} AS mac FROM (SELECT *, md5(c_name) AS k FROM customer)")
 def _(spark, d):
     return V.table(spark, d, "customer").select("c_custkey", S.hmac_sha256(F.md5("c_name"), F.col("c_mktsegment")).alias("mac"))
 
 
 @query("sc14_scrypt")
 def _(spark, d):
-    """A few users only matter here; the function is slow on purpose."""
-    return V.table(spark, d, "nation").select("n_nationkey", S.scrypt_hash(F.col("n_name"), F.md5("n_name")).alias("hash"))
+    """Every user's; the function is slow on purpose."""
+    return V.users(spark, d).select("id", S.scrypt_hash(F.col("name"), F.md5("name")).alias("hash"))
 
 
-@query("sc15_signature")
+@query(
+    "sc15_signature",
+    f"""WITH k0 AS (SELECT c_custkey, c_name, lower(hex(encode('AWS4' || md5(c_name)))) AS k FROM customer),
+    k1 AS (SELECT c_custkey, c_name, {_hmac_sql("k", "'20240101'")} AS k FROM k0), k2 AS (SELECT c_custkey, c_name, {_hmac_sql("k", "'us-east-1'")} AS k FROM k1),
+    k3 AS (SELECT c_custkey, c_name, {_hmac_sql("k", "'s3'")} AS k FROM k2), k4 AS (SELECT c_custkey, c_name, {_hmac_sql("k", "'aws4_request'")} AS k FROM k3),
+    c AS (SELECT *, 'AWS4-HMAC-SHA256' || chr(10) || '20240101T000000Z' || chr(10) || '20240101/us-east-1/s3/aws4_request' || chr(10)
+        || sha256('GET' || chr(10) || '/b1/' || url_encode(c_name) || chr(10) || chr(10) || 'host:example.com' || chr(10) || chr(10) || 'host' || chr(10) || 'UNSIGNED-PAYLOAD') AS to_sign FROM k4)
+    SELECT c_custkey, {_hmac_sql("k", "to_sign")} AS signature FROM c""",
+)
 def _(spark, d):
     """Signature version 4 of every customer's request."""
     c = V.table(spark, d, "customer").withColumn("key", S.signing_key(F.md5("c_name"), F.lit("20240101"), F.lit("us-east-1"), F.lit("s3")))

@@ -5,26 +5,18 @@ Watermarks are an addition of this engine: with them, state of closed hours goes
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of our own only where none is set, as in tests."""
-    import os
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(found or 'file://' + os.path.join(tempfile.gettempdir(), 'tessera-checkpoints')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..functions.shared import new_path
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Runs a streaming query over all that is there; the table that it leaves."""
     spark = stream.sparkSession
-    top = shared_folder(spark)
+    top = new_path(spark, "stream")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{top}/out")
@@ -36,7 +28,7 @@ def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
 def as_stream(table: DataFrame, files: int = 4) -> DataFrame:
     """A table written as files and read again as a stream of them, one at a time."""
     spark = table.sparkSession
-    path = f"{shared_folder(spark)}/in"
+    path = f"{new_path(spark, 'stream')}/in"
     table.repartition(files).write.parquet(path)
     return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
