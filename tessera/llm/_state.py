@@ -1,38 +1,5 @@
 """Cutting lineage: results written to the folder that all executors share."""
 
-from __future__ import annotations
+from ..functions.shared import drop_path, materialize, scratch
 
-import gc
-import os
-import tempfile
-import time
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of our own only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = found.get() if found.isDefined() else None
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
-    return found
-
-
-def materialize(df: DataFrame, name: str, release: bool = False) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lost executors cost no rework, and partitions stay as they were dealt.
-
-    With ``release``, the shuffle files behind ``df`` go now: nothing below needs them,
-    and Spark removes them once its driver has collected the plan that made them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    for _ in range(2 if release else 0):  # what the first round finds holds more
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["drop_path", "materialize", "scratch"]

@@ -11,20 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.package import ship as ship_package
+from ..functions.package import ship
 
 #: Bytes of text that one numpy block holds, so that temporaries stay small; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 17
-#: Rows of one Arrow batch between the JVM and Python.
-ARROW_ROWS = 1000
-
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives the executors' Python this package and sets the rows of an Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    ship_package(spark)
+def spare_prefix(*tables: DataFrame) -> str:
+    """A prefix that no column of ``tables`` has, for columns that come and go."""
+    taken = [c for df in tables for c in df.columns]
+    prefix = "__"
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    return prefix
 
 
 def map_arrow(df: DataFrame, run, schema: T.StructType) -> DataFrame:
@@ -90,12 +90,12 @@ def with_text_columns(df: DataFrame, text: str, fields: list[T.StructField], mak
 
     ``make`` runs once in each task and returns the block function, which gives an
     array for each name in ``fields``.  A new column, whose name gets ``prefix``,
-    replaces an old one of that name.
+    replaces an old one of that name, in whatever case.
     """
     added = [T.StructField(prefix + f.name, f.dataType) for f in fields]
-    fresh = {f.name for f in added}
-    kept = [c for c in (df.columns if keep is None else keep) if c not in fresh]
-    source = df.select(*kept, F.col(text).alias("__text"))
+    fresh = {f.name.lower() for f in added}
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in fresh]
+    source = df.select(*kept, F.col(text).alias(spare_prefix(df) + "text"))
     schema = T.StructType([source.schema[c] for c in kept] + added)
     names, at = schema.names, len(kept)
 

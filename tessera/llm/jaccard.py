@@ -1,21 +1,26 @@
 """N-gram Jaccard join with Bayesian candidate pruning (operator 3).
 
-Texts become sets of five-word shingles; rows of equal sets are one node that
-knows how many rows it stands for.  MinHash signatures are cut into bands, and
-nodes that share a band's bucket are candidates: a pair of similarity 0.8 meets
-in no bucket with a probability below 4e-6.  A candidate pair is looked at in the
-first bucket it shares; its MinHash values are compared some at a time, and it
-goes as soon as the posterior probability of reaching the threshold falls below
-the tolerance.  What is left is verified on the shingles themselves.
-
-Nothing is emitted for each pair of a group: large buckets are dealt into pairs of
-blocks, survivors leave a task as lists of partners, and verification, again in
-pairs of blocks, gives sums of links for each node and a spanning star of each
-linked group.  Every link counts, but copies are never expanded.
+Texts become sets of five-word shingles (64-bit hashes); rows of equal sets are one
+node that knows how many rows it stands for.  A node's number is a 64-bit hash of its
+set; a second one tells when two sets share a number, and these go by the second.
+MinHash signatures are cut into bands, and nodes that share a band's bucket are
+candidates: a pair of similarity 0.8 meets in no bucket with a probability below
+4e-6.  A candidate pair's MinHash values are compared some at a time.  It goes as soon
+as the posterior probability of reaching the threshold falls below the tolerance, and
+also once it agrees in a band before the bucket's own, for then it is looked at there.
+What is left is verified on the shingles.
+
+Copies are never expanded: a group of any number of equal sets is one node.  Large
+buckets are dealt into pairs of blocks.  A pair of different sets that survives is an
+entry of a list, as its link must be counted; verification, again in pairs of blocks,
+gives sums of links for each node and a spanning star of each linked group.
 
 Defined cases: a text of fewer than five words, but not none, is one shingle; a
 text without words (or null) is a class of its own without links, as is a row
-with a null id; repeated rows are copies of one another.
+with a null id; repeated rows are copies of one another; a text of any length is
+one set; an empty table gives no rows.  Ids are of any type that can be ordered.
+Columns beside id and text play no part, whatever their names, and come back as they
+are from ``keep_first``.
 """
 
 from __future__ import annotations
@@ -30,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._state import materialize
-from ._text import Block, Words, map_arrow, mix64, ship, slices, whole_groups, window_hashes
+from ._state import materialize, scratch
+from ._text import Block, Words, map_arrow, mix64, slices, spare_prefix, whole_groups, window_hashes
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -40,7 +45,7 @@ TOLERANCE = 1e-6
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: MinHash values compared before the posterior is looked at again.
-STEP = 32
+STEP = 20
 #: Nodes of a block, and shingles of a block to verify; what is larger is dealt into pairs of blocks.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 
@@ -67,9 +72,9 @@ def shingle_sets(block: Block, width: int = SHINGLE_WORDS) -> list[np.ndarray]:
     return out
 
 
-def node_of(shingles: np.ndarray) -> int | None:
-    """The number of a set; none for the empty one."""
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63) if len(shingles) else None
+def node_of(shingles: np.ndarray, seed: int = 0) -> int | None:
+    """The number of a set, or with another seed its second one; none for the empty set."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes(), seed) - (1 << 63) if len(shingles) else None
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -102,17 +107,17 @@ def least_matches(threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE,
 
 
 def _describe(documents: DataFrame, id: str, text: str) -> DataFrame:
-    """Each row's id, text hash, set (null without words), shingles and signature."""
-    source = documents.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("__text"))
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType())])
+    """Each row's id, text hash, set (null without words) by both numbers, shingles and signature."""
+    source = documents.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("__text"))
+    schema = T.StructType([source.schema["id"], *(T.StructField(n, T.LongType()) for n in ("text_hash", "node", "second", "n")), T.StructField("sig", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 2):
                 sets = shingle_sets(Block(part.column(2)))
-                nodes = [node_of(s) for s in sets]
+                nodes, second = ([node_of(s, seed) for s in sets] for seed in (0, 1))
                 sigs = [signature(s).tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(second, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary())], names=schema.names)
 
     return map_arrow(source, run, schema)
 
@@ -151,15 +156,16 @@ def _prune(sig: np.ndarray, sizes: np.ndarray, band: np.ndarray, i: np.ndarray,
     live = np.flatnonzero(small * threshold.denominator >= large * threshold.numerator)
     matches = np.zeros(len(live), np.int64)
     done = 0
-    for n, least in limits:
+    for n, least in limits:  # whole bands at a time
         same = sig[i[live], done:n] == sig[j[live], done:n]
         matches += same.sum(axis=1)
-        keep = matches >= least
+        # A pair belongs to the first band in which it agrees.
+        before = np.arange(done // ROWS, n // ROWS)[None, :] < band[i[live], None]
+        earlier = (same.reshape(len(live), (n - done) // ROWS, ROWS).all(axis=2) & before).any(axis=1)
+        keep = (matches >= least) & ~earlier
         live, matches = live[keep], matches[keep]
         done = n
-    # A pair belongs to the first band in which it agrees.
-    agree = (sig[i[live]] == sig[j[live]]).reshape(-1, BANDS, ROWS).all(axis=2)
-    return live[agree.argmax(axis=1) == band[i[live]]] if len(live) else live
+    return live
 
 
 def _candidates(members: DataFrame, limits: list[tuple[int, int]], threshold: Fraction) -> DataFrame:
@@ -302,7 +308,7 @@ def _verify(rows: DataFrame, threshold: Fraction) -> DataFrame:
                 # Rows of one id may hold other texts, or the same again: one row a node, the right one.
                 held: dict[int, int] = {}
                 for k, x in enumerate(node[s : s + n].tolist()):
-                    if x not in held and node_of(sets[k]) == x:
+                    if x not in held and x in (node_of(sets[k]), node_of(sets[k], 1)):
                         held[x] = k
                 chosen = np.array(sorted(held.values(), key=lambda k: node[s + k]), np.int64)
                 names, weight = node[s + chosen], copies[s + chosen].astype(np.int64)
@@ -339,12 +345,27 @@ def jaccard_classes(documents: DataFrame, id: str = "doc_id", text: str = "text"
     return _labelled(documents, id, text, threshold, tolerance, block).drop("__label")
 
 
+def _nodes(rows: DataFrame) -> DataFrame:
+    """Each set once: its smallest id, rows, shingles and signature, and the least and the largest of its second numbers."""
+    own = rows.where("node IS NOT NULL AND id IS NOT NULL").groupBy("node")
+    return own.agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.first("sig").alias("sig"), F.min("second").alias("second0"), F.max("second").alias("second1"))
+
+
 def _labelled(documents: DataFrame, id: str, text: str, threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """jaccard_classes with ``__label``: one number for each class, also where classes share an id; null without shingles."""
-    spark = documents.sparkSession
-    ship(spark)
+    with scratch() as kept:
+        kept.append(materialize(_classes(documents, id, text, threshold, tolerance, block), "classes"))
+    return kept[0]
+
+
+def _classes(documents: DataFrame, id: str, text: str, threshold: Fraction, tolerance: float, block: int) -> DataFrame:
     rows = materialize(_describe(documents, id, text), "shingled")
-    nodes = materialize(rows.where("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.first("sig").alias("sig")), "nodes")
+    nodes = materialize(_nodes(rows), "nodes")
+    shared = nodes.where("second0 <> second1").select("node")
+    if not shared.isEmpty():  # two sets of one number: about one such number for each 2**32 sets squared
+        apart = shared.withColumn("shared", F.lit(True))
+        rows = materialize(rows.join(apart, "node", "left").withColumn("node", F.when(F.col("shared"), F.col("second")).otherwise(F.col("node"))).drop("shared"), "shingled")
+        nodes = materialize(_nodes(rows), "nodes")
 
     hits = _buckets(nodes)
     shared = hits.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -353,15 +374,15 @@ def _labelled(documents: DataFrame, id: str, text: str, threshold: Fraction = TH
     home = members.groupBy("node").agg(F.min("bucket").alias("home")).join(nodes.select("node", "n", "sig"), "node")
     crowd = home.groupBy("home").agg(F.expr(f"greatest(ceil(count(1) / {block}), ceil(sum(n) / {BLOCK_SHINGLES}))").alias("blocks"))
     known = home.join(crowd, "home").select("node", F.xxhash64("home", F.expr("pmod(xxhash64(node), blocks)")).alias("block"), "n", "sig")
-    parts = members.withColumn("blocks", F.expr(f"ceil(size / {block})")).withColumn("mine", F.expr("pmod(xxhash64(node), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    placed = parts.select("bucket", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), F.expr("int(mine > other)").alias("side"), "node", "band")
-    dealt = placed.join(known, "node").select("bucket", "b1", "b2", "side", "node", "block", "n", "sig", "band")
+    # A node has a row for each of its bands until it has its signature, and only then for each pair of blocks.
+    parts = members.join(known, "node").withColumn("blocks", F.expr(f"ceil(size / {block})")).withColumn("mine", F.expr("pmod(xxhash64(node), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    dealt = parts.select("bucket", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), F.expr("int(mine > other)").alias("side"), "node", "block", "n", "sig", "band")
     limits = least_matches(threshold, tolerance)
     grouped = dealt.repartition("bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2")
-    found = materialize(_candidates(grouped, limits, threshold), "candidates", release=True)
+    found = materialize(_candidates(grouped, limits, threshold), "candidates")
 
     needed = _members(found).join(nodes.select("node", "first_id", "copies"), "node")
-    texts = documents.select(F.col(id).cast("long").alias("first_id"), F.col(text).alias("text"))
+    texts = documents.select(F.col(id).alias("first_id"), F.col(text).alias("text"))
     none = F.lit(None).cast("array<bigint>")
     sets = needed.join(texts, "first_id").select("g1", "g2", F.lit(0).alias("kind"), "node", "copies", "text", none.alias("left"), none.alias("right"))
     lists = found.select("g1", "g2", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("node"), F.lit(None).cast("bigint").alias("copies"), F.lit(None).cast("string").alias("text"), "left", "right")
@@ -379,11 +400,13 @@ def _labelled(documents: DataFrame, id: str, text: str, threshold: Fraction = TH
 
 def keep_first(documents: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each class, that with the smallest id, with all columns; rows with a null id stay."""
-    classes = _labelled(documents, id, text, **options).where(F.col(id).isNotNull())
+    p = spare_prefix(documents)
+    classes = _labelled(documents, id, text, **options).select(F.col(id).alias("id"), "text_hash", "__label").where("id IS NOT NULL")
     # Texts without shingles have no links: each id and text of theirs is a class.
-    alone = F.when(F.col("__label").isNull(), F.struct(id, "text_hash"))
-    first = classes.groupBy("__label", alone.alias("alone")).agg(F.min(F.struct(id, "text_hash")).alias("first")).select(F.col(f"first.{id}").alias("__id"), F.col("first.text_hash").alias("__hash"))
-    marked = documents.withColumn("__hash", F.xxhash64(F.col(text))).withColumn("__id", F.col(id).cast("long"))
+    alone = F.when(F.col("__label").isNull(), F.struct("id", "text_hash"))
+    first = classes.groupBy("__label", alone.alias("alone")).agg(F.min(F.struct("id", "text_hash")).alias("first")).select(F.col("first.id").alias(p + "id"), F.col("first.text_hash").alias(p + "hash"))
+    marked = documents.withColumn(p + "hash", F.xxhash64(F.col(text))).withColumn(p + "id", F.col(id))
     # A row repeated as it is has the same id and text hash: one of it stays.
-    kept = marked.join(first.distinct(), ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
+    own = [p + "id", p + "hash"]
+    kept = marked.join(first.distinct(), own, "left_semi").dropDuplicates(own)
     return kept.select(*documents.columns).unionByName(documents.where(F.col(id).isNull()))

@@ -17,7 +17,10 @@ the texts of all languages together.
 Defined cases: a null text, an empty one and one without letters get ``und`` with
 score 0 and are rejected; rows with a null language or null id teach nothing; of
 two languages equally likely the first in alphabetical order wins; without any
-text to learn from every text is ``und``.
+text to learn from every text is ``und``; an empty table gives an empty one.  Repeated
+rows teach and are judged each by itself; a text counts and is judged whole, however
+long.  New columns replace old ones of their names; ``keep_identified`` returns the
+table's own columns as they were.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import Block, map_arrow, mix64, slices, with_text_columns
+from ._text import Block, map_arrow, mix64, slices, spare_prefix, with_text_columns
 
 ORDER = 4
 BITS = 6
@@ -206,6 +210,8 @@ class Model:
         def score(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             nonlocal rows
             grams, bounds, letters = encoder.grams(block)
+            if not self.models:
+                return np.zeros((block.n, 0)), np.diff(bounds), letters
             at = index[grams]
             if (missing := at < 0).any():
                 fresh = np.unique(grams[missing])
@@ -243,13 +249,12 @@ class Model:
 def learn(documents: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Models counted over all of ``documents`` and calibrated on all of them."""
     rows = count_grams(documents, text, lang).toArrow()  # at most 2**24 rows a language, whatever the corpus
-    names = np.asarray(rows.column("lang").to_pylist(), object)
-    grams, counts = rows.column("gram").to_numpy().astype(np.int64), rows.column("n").to_numpy().astype(np.float64)
     models = {}
-    for name in sorted(set(names.tolist())):
-        mine = names == name
-        sort = np.argsort(grams[mine])
-        models[name] = KneserNey(grams[mine][sort], counts[mine][sort])
+    for name in sorted(pc.unique(rows.column("lang")).to_pylist()):
+        own = rows.filter(pc.equal(rows.column("lang"), name))
+        grams, counts = own.column("gram").to_numpy().astype(np.int64), own.column("n").to_numpy().astype(np.float64)
+        sort = np.argsort(grams)
+        models[name] = KneserNey(grams[sort], counts[sort])
     model = Model(models)
     if models:
         _calibrate(model, documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text")))
@@ -327,4 +332,5 @@ def identify(documents: DataFrame, model: Model, text: str = "text", keep: list[
 
 def keep_identified(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``documents`` without those that the models reject, with their own columns."""
-    return identify(documents, model, text, prefix="__").where(~F.col("__rejected")).select(*documents.columns)
+    prefix = spare_prefix(documents)
+    return identify(documents, model, text, prefix=prefix).where(~F.col(prefix + "rejected")).select(*documents.columns)

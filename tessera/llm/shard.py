@@ -7,42 +7,24 @@ are contiguous in id order and differ by one row's size at most.
 
 Defined cases: a null text has no bytes, an empty one neither; a null id sorts
 first; rows of one id are ordered by the checksum and size of their text, and
-rows equal in all three are interchangeable; an empty table gives no shards.
+rows equal in all three are interchangeable, so that any number of them is split
+over tasks like others; an empty table gives no shards; a text longer than a shard's
+target is a shard's alone, and shards beside it may be empty.  Of the columns to
+keep, those named like a new one (size, text_crc32, shard, slot) are replaced by it;
+a column that is not kept plays no part, whatever its name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._state import materialize
+from ..operators.ranks import with_offsets
 
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 8
 
 
-def with_offsets(df: DataFrame, order: list[str], size: str, by: list[str] | None = None, parts: int | None = None) -> DataFrame:
-    """``df`` with ``rank`` and ``offset``: the rows and the sum of ``size`` before each row in ``order``.
-
-    With ``by`` (the leading columns of ``order``), both start anew for each group.
-    A group may span any number of partitions, so a hot one is no heavier than others.
-    """
-    by = by or []
-    spark = df.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
-    dealt = materialize(dealt, "offsets")  # partition numbers must not change when a lost task runs again
-    totals = dealt.groupBy("__part", *by).agg(F.sum(size).alias("__bytes"), F.count(F.lit(1)).alias("__rows"))
-    # One row for each partition, and for each group that a partition holds.
-    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("__part", *by, F.coalesce(F.sum("__bytes").over(before), F.lit(0)).alias("__bytes0"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__rows0"))
-    inside = Window.partitionBy("__part", *by).orderBy(*order[len(by) :])
-    local = dealt.withColumn("__rank", F.row_number().over(inside) - 1).withColumn("__offset", F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size))
-    same = [local["__part"] == base["__part"], *(local[c].eqNullSafe(base[c]) for c in by)]
-    joined = local.join(base, same, "left")
-    return joined.select(*(local[c] for c in df.columns), (F.col("__rank") + F.col("__rows0")).alias("rank"), (F.col("__offset") + F.col("__bytes0")).alias("offset"))
-
-
 def shard_of(total: int, shards: int) -> Column:
     """The shard in which the middle of a row lies, from its ``offset`` and ``size``; 64-bit integers throughout."""
     # Twice the middle is 2 * offset + size.
@@ -51,11 +33,13 @@ def shard_of(total: int, shards: int) -> Column:
 
 def assign_shards(df: DataFrame, shards: int = 24, id: str = "doc_id", text: str = "text", keep: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """``df``'s columns ``keep`` (default: the id) with size, text_crc32, shard and slot (the row's place in its shard)."""
-    keep = [id] if keep is None else keep
+    names = ["size", "text_crc32", "shard", "slot"]
+    keep = [c for c in ([id] if keep is None else keep) if c.lower() not in names]
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    sized = df.select(*keep, *([] if id in keep else [id]), (F.octet_length(raw).cast("long") + ROW_BYTES).alias("size"), F.crc32(raw).alias("text_crc32"))
-    placed = with_offsets(sized, [id, "text_crc32", "size"], "size", parts=parts)
+    # The table's own columns go as one, so that their names meet none of ours.
+    sized = df.select(F.struct(F.lit(0), *keep).alias("own"), F.col(id).alias("id"), (F.octet_length(raw).cast("long") + ROW_BYTES).alias("size"), F.crc32(raw).alias("text_crc32"))
+    placed = with_offsets(sized, ["id", "text_crc32", "size"], "size", parts=parts)
     total = placed.agg(F.sum("size")).first()[0] or 1
     sharded = placed.withColumn("shard", shard_of(total, shards))
-    first = sharded.groupBy("shard").agg(F.min("rank").alias("__first"))  # a row for each shard
-    return sharded.join(F.broadcast(first), "shard").select(*keep, "size", "text_crc32", "shard", (F.col("rank") - F.col("__first")).alias("slot"))
+    first = sharded.groupBy("shard").agg(F.min("rank").alias("first"))  # a row for each shard
+    return sharded.join(F.broadcast(first), "shard").select(*(F.col("own").getField(c).alias(c) for c in keep), "size", "text_crc32", "shard", (F.col("rank") - F.col("first")).alias("slot"))

@@ -19,12 +19,23 @@ with a smaller id is removed, all strings judged on the input.
 5. The verdicts go back to the packs: spans are marked, joined and cut out.
 
 Nothing is emitted for pairs, and a group of copies is one row of a bucket for
-each pack.  Buckets number four for each shuffle partition, so what a task holds
-stays as it is when input and partitions grow.
+each pack.  Buckets number at least four for each shuffle partition and one for each
+8 MiB of text, so what a bucket holds does not grow with the input.
+
+An anchor that ``HOT_PACKS`` packs or more have is hot.  A string with it has at least
+half of its other bytes on one side, so a hot anchor's contexts go to two buckets:
+that of the anchor with the 17 bytes behind it, which judges the strings that reach
+those, and that of the anchor with the bytes before it, which judges the others.  Equal
+strings still meet, and an anchor's contexts are spread over tasks.
+
+Hashes only bring contexts together; what counts as equal is equal byte for byte.
 
 Defined cases: a null text has no bytes; one shorter than ``length`` is kept
-whole; rows of one id do not remove each other's bytes; a row with a null id
-neither loses bytes nor removes any.
+whole; rows of one id do not remove each other's bytes, so repeated rows keep theirs;
+a row with a null id neither loses bytes nor removes any; a text of any length is
+taken whole, and is a pack of its own beyond 2 MiB; an empty table gives no rows.
+Ids are whole numbers: another type is an error.  Columns beside id and text play no
+part, whatever their names, and come back as they are from ``remove_spans``.
 """
 
 from __future__ import annotations
@@ -40,19 +51,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._state import materialize
-from ._text import Block, map_arrow, mix64, run_hashes, ship, slices, whole_groups, without_spans
+from ._state import materialize, scratch
+from ._text import Block, map_arrow, mix64, run_hashes, slices, spare_prefix, whole_groups, without_spans
 from .suffix_array import suffix_array
 
 LENGTH = 50
 GRAM = 16
-PACK_BYTES = 1 << 22
+PACK_BYTES = 1 << 21
 STRETCH = 1 << 18
 BUCKETS_PER_PARTITION = 4
+BUCKET_BYTES = 8 << 20
+#: Packs that an anchor may occur in before its contexts are split by what stands beside it.
+HOT_PACKS = 4096
+#: Bytes beside a hot anchor that tell its contexts apart.
+BESIDE = 17
 #: Contexts whose suffixes are sorted together, unless one anchor has more.
 SORTED_TOGETHER = 4000
 HASH_BYTES = 6
 EARLIER = np.uint64(1) << np.uint64(63)
+#: Which strings an entry judges, by their offset in the context: all, those that reach behind the anchor, or the others.
+BOTH, BEHIND, BEFORE = 0, 1, 2
 
 
 def _squeeze(x: np.ndarray | bytes, level: int = 3) -> bytes:
@@ -156,9 +174,9 @@ def _fields(**kinds) -> T.StructType:
     return T.StructType([T.StructField(n, k()) for n, k in kinds.items()])
 
 
-PACKS = _fields(pack=T.LongType, blob=T.BinaryType)
+PACKS = _fields(pack=T.LongType, bytes=T.LongType, blob=T.BinaryType)
 ANCHORS = _fields(bucket=T.IntegerType, pack=T.LongType, once=T.BinaryType, often=T.BinaryType)
-SHARED = _fields(pack=T.LongType, bucket=T.IntegerType, shared=T.BinaryType)
+SHARED = _fields(pack=T.LongType, bucket=T.IntegerType, shared=T.BinaryType, hot=T.BinaryType)
 CONTEXTS = _fields(bucket=T.IntegerType, pack=T.LongType, ids=T.BinaryType, shape=T.BinaryType, data=T.BinaryType)
 VERDICTS = _fields(pack=T.LongType, bucket=T.IntegerType, verdict=T.BinaryType)
 
@@ -169,6 +187,8 @@ def _batch(schema: T.StructType, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _pack(documents: DataFrame, id: str, text: str) -> DataFrame:
+    if not isinstance(documents.schema[id].dataType, T.IntegralType):
+        raise TypeError(f"{id} must be a whole number, not {documents.schema[id].dataType.simpleString()}")
     source = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
 
     def run(batches):
@@ -179,22 +199,29 @@ def _pack(documents: DataFrame, id: str, text: str) -> DataFrame:
                 own = pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.large_binary())], names=["id", "text"])
                 with pa.ipc.new_stream(to, own.schema) as writer:
                     writer.write_batch(own)
-                yield _batch(PACKS, [(number, _squeeze(to.getvalue().to_pybytes()))])
+                yield _batch(PACKS, [(number, own.nbytes, _squeeze(to.getvalue().to_pybytes()))])
                 number += 1
 
     return map_arrow(source, run, PACKS)
 
 
-def _split(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order by bucket, and where each bucket begins in it."""
+def _split(bucket: np.ndarray) -> tuple[np.ndarray, dict[int, slice]]:
+    """A stable order by bucket, and where each bucket that occurs stands in it."""
     order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+    found, starts = np.unique(bucket[order], return_index=True)
+    ends = np.append(starts[1:], len(bucket))
+    return order, {k: slice(a, b) for k, a, b in zip(found.tolist(), starts.tolist(), ends.tolist(), strict=True)}
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are among the sorted ``known``."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
 
 
 def _spread(packs: DataFrame, buckets: int, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 pack = Pack(blob, length)
                 order = np.lexsort((pack.id[pack.doc], pack.h))
                 h, id = pack.h[order], pack.id[pack.doc][order]
@@ -203,19 +230,18 @@ def _spread(packs: DataFrame, buckets: int, length: int) -> DataFrame:
                 new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
                 last = np.append(new[1:], len(h)) - 1
                 often, h = id[new] != id[last], h[new]
-                order, starts = _split((h % np.uint64(buckets)).astype(np.int64), buckets)
+                order, places = _split((h % np.uint64(buckets)).astype(np.int64))
                 six, often = _six(h, buckets)[order], often[order]
                 rows = []
-                for k in range(buckets):
-                    own, many = six[starts[k] : starts[k + 1]], often[starts[k] : starts[k + 1]]
-                    if len(own):
-                        rows.append((k, number, _to_bytes(np.sort(own[~many])), _to_bytes(np.sort(own[many]))))
+                for k, at in places.items():
+                    own, many = six[at], often[at]
+                    rows.append((k, number, _to_bytes(np.sort(own[~many])), _to_bytes(np.sort(own[many]))))
                 yield _batch(ANCHORS, rows)
 
     return map_arrow(packs, run, ANCHORS)
 
 
-def _share(rows: DataFrame) -> DataFrame:
+def _share(rows: DataFrame, hot_packs: int) -> DataFrame:
     def run(batches):
         for table, starts in whole_groups(batches, 1):
             out = []
@@ -229,53 +255,98 @@ def _share(rows: DataFrame) -> DataFrame:
                 shared = np.unique(np.concatenate([repeated, *often]))
                 if not len(shared):
                     continue
+                new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+                hot = every[new][np.diff(np.append(new, len(every))) >= hot_packs]
                 for pack, x, y in zip(table.column(1).slice(s, e - s).to_pylist(), once, often, strict=True):
-                    own = np.concatenate([x, y])
-                    own = own[shared[np.minimum(np.searchsorted(shared, own), len(shared) - 1)] == own]
+                    own = np.sort(np.concatenate([x, y]))
+                    own = own[_among(own, shared)]
                     if len(own):
-                        out.append((pack, bucket, _to_bytes(np.sort(own))))
+                        out.append((pack, bucket, _to_bytes(own), _to_bytes(own[_among(own, hot)])))
             if out:
                 yield _batch(SHARED, out)
 
     return map_arrow(rows, run, SHARED)
 
 
-def _chosen(pack: Pack, buckets: int, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The pack's anchors that occur elsewhere, and their buckets."""
+def _chosen(pack: Pack, buckets: int, answers: dict[int, tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pack's anchors that occur elsewhere, their buckets, and whether they are hot."""
     bucket = (pack.h % np.uint64(buckets)).astype(np.int64)
     six = _six(pack.h, buckets)
-    order, starts = _split(bucket, buckets)
-    keep = np.zeros(len(six), bool)
-    for k, blob in answers.items():
-        known = _from_bytes(blob)
-        own = order[starts[k] : starts[k + 1]]
-        if len(known):
-            keep[own] = known[np.minimum(np.searchsorted(known, six[own]), len(known) - 1)] == six[own]
+    order, places = _split(bucket)
+    keep, hot = np.zeros(len(six), bool), np.zeros(len(six), bool)
+    for k, (shared, often) in answers.items():
+        own = order[places[k]]
+        keep[own] = _among(six[own], _from_bytes(shared))
+        if often:
+            hot[own] = _among(six[own], _from_bytes(often))
     at = np.flatnonzero(keep)
-    return at, bucket[at]
-
-
-def _distinct(pack: Pack, buckets: int, answers: dict[int, bytes]):
-    """The chosen anchors with their contexts' sides, and for each distinct context in order of bucket and hash: its first anchor, bucket, smallest id."""
-    at, bucket = _chosen(pack, buckets, answers)
-    left, right, key = pack.contexts(at)
-    order = np.lexsort((pack.id[pack.doc[at]], key, bucket))
-    k, b = key[order], bucket[order]
-    new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (b[1:] != b[:-1])])) if len(k) else np.zeros(0, np.int64)
-    first = order[new]
-    begins = np.zeros(len(at), np.int64)
-    begins[new] = 1
-    rank = np.zeros(len(at), np.int64)
-    rank[order] = np.cumsum(begins) - 1
-    return at, left, right, first, bucket[first], rank
-
-
-def _with_answers(packs: DataFrame, answers: DataFrame) -> DataFrame:
-    """Packs (kind 0) and what buckets sent them (kind 1), each pack's rows together."""
-    left = packs.select("pack", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), "blob")
-    names = [c for c in answers.columns if c not in ("pack", "bucket")]
-    both = left.unionByName(answers.select("pack", F.lit(1).alias("kind"), "bucket", F.col(names[0]).alias("blob"), *(F.col(c) for c in names[1:])), allowMissingColumns=True)
-    return both.repartition("pack").sortWithinPartitions("pack", "kind", "bucket")
+    return at, bucket[at], hot[at]
+
+
+class Distinct:
+    """A pack's contexts: each once, with the places that have it and the buckets that judge it."""
+
+    def __init__(self, pack: Pack, buckets: int, answers: dict[int, tuple[bytes, bytes]]):
+        self.at, bucket, hot = _chosen(pack, buckets, answers)
+        at = self.at
+        self.left, self.right, key = pack.contexts(at)
+        order = np.lexsort((pack.id[pack.doc[at]], key, bucket))
+        k, b = key[order], bucket[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (b[1:] != b[:-1])
+        alike = np.flatnonzero(~new)
+        if len(alike):  # equal hashes: compare the contexts themselves
+            new[alike] = ~_same(pack, at[order[alike - 1]], at[order[alike]], self.left[order[alike - 1]], self.left[order[alike]], self.right[order[alike - 1]], self.right[order[alike]])
+        begins = np.flatnonzero(new)
+        #: The first place of each context, that with its smallest id, and the context of each place.
+        self.first = order[begins]
+        self.rank = np.zeros(len(at), np.int64)
+        self.rank[order] = np.cumsum(new) - 1
+        # Entries: (bucket, context, which strings it judges), in order of bucket.
+        cold, warm = np.flatnonzero(~hot[self.first]), np.flatnonzero(hot[self.first])
+        to = [bucket[self.first[cold]]]
+        if len(warm):
+            own, n = self.first[warm], beside_of(pack.length)
+            data, column = np.concatenate([np.zeros(n, np.uint8), pack.block.data, np.zeros(GRAM + n, np.uint8)]), np.arange(n)[None, :]
+            # What lies beyond the context's own text reads as zeros.
+            behind = np.where(column + GRAM < self.right[own][:, None], data[pack.at[at[own]][:, None] + column + GRAM + n], 0)
+            before = np.where(column >= n - self.left[own][:, None], data[pack.at[at[own]][:, None] + column], 0)
+            for part, grid in ((BEHIND, behind), (BEFORE, before)):
+                beside = run_hashes(grid.ravel(), np.arange(len(grid)) * n, np.arange(1, len(grid) + 1) * n)
+                to.append((mix64(beside ^ pack.h[at[own]] ^ np.uint64(part)) % np.uint64(buckets)).astype(np.int64))
+        context = np.concatenate([cold, warm, warm])
+        part = np.repeat(np.array([BOTH, BEHIND, BEFORE], np.uint8), [len(cold), len(warm), len(warm)])
+        to = np.concatenate(to)
+        sort = np.lexsort((part, context, to))
+        self.bucket, self.part, self.context = to[sort], part[sort], context[sort]
+
+
+def beside_of(length: int) -> int:
+    """How many bytes beside a hot anchor tell its contexts apart: no string has fewer on both sides."""
+    return min(BESIDE, (length - GRAM) // 2)
+
+
+def _same(pack: Pack, a: np.ndarray, b: np.ndarray, left_a: np.ndarray, left_b: np.ndarray, right_a: np.ndarray, right_b: np.ndarray) -> np.ndarray:
+    """Whether the contexts of anchors ``a`` and ``b`` are the same bytes around the same place."""
+    same = (left_a == left_b) & (right_a == right_b)
+    data, reach = pack.block.data, pack.length - GRAM
+    for some in np.array_split(np.flatnonzero(same), max(1, len(a) // 20_000)):  # so that the grids stay small
+        column = np.arange(-reach, pack.length)[None, :]
+        inside = (column >= -left_a[some][:, None]) & (column < right_a[some][:, None])
+        last = len(data) - 1
+        x, y = (data[np.clip(pack.at[k[some]][:, None] + column, 0, last)] for k in (a, b))
+        same[some] = ((x == y) | ~inside).all(axis=1)
+    return same
+
+
+def _with_answers(packs: DataFrame, shared: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """Packs (kind 0), what buckets told them of anchors (kind 1), and of contexts (kind 2): each pack's rows together."""
+    none = F.lit(None).cast("binary")
+    rows = packs.select("pack", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), "blob", none.alias("hot"))
+    rows = rows.unionByName(shared.select("pack", F.lit(1).alias("kind"), "bucket", F.col("shared").alias("blob"), "hot"))
+    if verdicts is not None:
+        rows = rows.unionByName(verdicts.select("pack", F.lit(2).alias("kind"), "bucket", F.col("verdict").alias("blob"), none.alias("hot")))
+    return rows.repartition("pack").sortWithinPartitions("pack", "kind", "bucket")
 
 
 def _gather(rows: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -289,26 +360,28 @@ def _gather(rows: DataFrame, buckets: int, length: int) -> DataFrame:
                     continue
                 number = table.column(0)[s].as_py()
                 pack = Pack(table.column(3)[s].as_py(), length)
-                answers = dict(zip(table.column(2).slice(s + 1, e - s - 1).to_pylist(), table.column(3).slice(s + 1, e - s - 1).to_pylist(), strict=True))
-                at, left, right, first, bucket, _ = _distinct(pack, buckets, answers)
+                found = Distinct(pack, buckets, _answers(table, s + 1, e))
                 line = np.concatenate([np.zeros(length, np.uint8), pack.block.data, np.zeros(length, np.uint8)])
                 column = np.arange(span)[None, :] - (length - GRAM)
-                id = pack.id[pack.doc[at[first]]]
-                bounds = np.searchsorted(bucket, np.arange(buckets + 1))
+                id = pack.id[pack.doc[found.at[found.first]]]
                 out = []
-                for k in range(buckets):
-                    a, b = bounds[k], bounds[k + 1]
-                    if b > a:
-                        own = first[a:b]
-                        shape = np.stack([left[own], right[own]], axis=1).astype(np.uint16)
-                        grid = line[pack.at[at[own]][:, None] + column + length]
-                        grid[(column < -left[own][:, None]) | (column >= right[own][:, None])] = 0
-                        out.append((k, number, _squeeze(id[a:b]), _squeeze(shape), _squeeze(grid, 6)))
+                for k, at in _split(found.bucket)[1].items():
+                    own = found.first[found.context[at]]
+                    shape = np.stack([found.left[own], found.right[own]], axis=1).astype(np.uint16)
+                    grid = line[pack.at[found.at[own]][:, None] + column + length]
+                    grid[(column < -found.left[own][:, None]) | (column >= found.right[own][:, None])] = 0
+                    out.append((k, number, _squeeze(id[found.context[at]]), _squeeze(shape), _squeeze(grid, 6)))
                 yield _batch(CONTEXTS, out)
 
     return map_arrow(rows, run, CONTEXTS)
 
 
+def _answers(table: pa.RecordBatch, start: int, end: int) -> dict[int, tuple[bytes, bytes]]:
+    """What the buckets told a pack: by bucket, its anchors that occur elsewhere, and the hot ones among them."""
+    rows = (table.column(k).slice(start, end - start).to_pylist() for k in (1, 2, 3, 4))
+    return {bucket: (shared, hot) for kind, bucket, shared, hot in zip(*rows, strict=True) if kind == 1}
+
+
 def smallest_ids(grid: np.ndarray, left: np.ndarray, right: np.ndarray, id: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """For each context and offset, the smallest id with the same string there; the own id where there is no string.
 
@@ -380,7 +453,11 @@ def _judge(rows: DataFrame, length: int) -> DataFrame:
                 id = np.concatenate(ids)
                 sort = np.lexsort((id, keys))
                 k = keys[sort]
-                new = np.concatenate([[True], k[1:] != k[:-1]])
+                new = np.ones(len(k), bool)
+                new[1:] = k[1:] != k[:-1]
+                alike = np.flatnonzero(~new)  # equal hashes: compare the contexts themselves
+                x, y = sort[alike - 1], sort[alike]
+                new[alike] = (grid[x] != grid[y]).any(axis=1) | (shape[x] != shape[y]).any(axis=1)
                 number = np.zeros(len(keys), np.int64)
                 number[sort] = np.cumsum(new) - 1
                 first = sort[new]  # a row of each distinct context, with its smallest id
@@ -390,6 +467,9 @@ def _judge(rows: DataFrame, length: int) -> DataFrame:
                 order = np.lexsort((anchor[:, 1], anchor[:, 0]))
                 cut = np.concatenate([[True], (anchor[order][1:] != anchor[order][:-1]).any(axis=1)])
                 begins = np.append(np.flatnonzero(cut), len(order))
+                several = np.diff(begins) > 1  # an anchor with one context has no string twice
+                order = order[np.repeat(several, np.diff(begins))]
+                begins = np.concatenate([[0], np.cumsum(np.diff(begins)[several])])
                 verdict = np.zeros(len(first), np.uint64)
                 at = 0
                 while at < len(begins) - 1:
@@ -420,6 +500,12 @@ FOUND = [
 ]
 
 
+def _verdicts(table: pa.RecordBatch, start: int, end: int) -> dict[int, bytes]:
+    """The buckets' verdicts for a pack."""
+    rows = (table.column(k).slice(start, end - start).to_pylist() for k in (1, 2, 3))
+    return {bucket: verdict for kind, bucket, verdict in zip(*rows, strict=True) if kind == 2}
+
+
 def _mark(rows: DataFrame, buckets: int, length: int, id: str) -> DataFrame:
     schema = T.StructType([T.StructField(id, T.LongType()), *FOUND])
     middle = length - GRAM
@@ -430,15 +516,20 @@ def _mark(rows: DataFrame, buckets: int, length: int, id: str) -> DataFrame:
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 pack = Pack(table.column(3)[s].as_py(), length)
                 b = pack.block
-                shared, verdicts = {}, {}
-                for bucket, answer, verdict in zip(*(table.column(k).slice(s + 1, e - s - 1).to_pylist() for k in (2, 3, 4)), strict=True):
-                    shared[bucket], verdicts[bucket] = answer, verdict
+                verdicts = _verdicts(table, s + 1, e)
                 change = np.zeros(len(b.data) + 1, np.int32)
-                if shared:
-                    at, left, right, first, _, rank = _distinct(pack, buckets, shared)
-                    word = np.concatenate([np.frombuffer(_expand(verdicts[k]), np.uint64) for k in sorted(verdicts)]) if verdicts else np.zeros(0, np.uint64)
-                    if len(word) != len(first):
+                answers = _answers(table, s + 1, e)
+                if answers:
+                    found = Distinct(pack, buckets, answers)
+                    at, left, right, first, rank = found.at, found.left, found.right, found.first, found.rank
+                    judged = np.concatenate([np.frombuffer(_expand(verdicts[k]), np.uint64) for k in sorted(verdicts)]) if verdicts else np.zeros(0, np.uint64)
+                    if len(judged) != len(found.context):
                         raise ValueError("verdicts do not fit their pack")
+                    # A string that begins few bytes before its anchor reaches far behind it.
+                    every, near = (1 << 63) - 1, sum(1 << k for k in range(middle - beside_of(length), middle + 1))
+                    scope = np.array([every, near, every & ~near], np.uint64) | EARLIER
+                    word = np.zeros(len(first), np.uint64)
+                    np.bitwise_or.at(word, found.context, judged & scope[found.part])
                     # Later copies of a context within the pack have an earlier document too.
                     id_of = pack.id[pack.doc[at]]
                     whole = ((word[rank] & EARLIER) != 0) | (id_of > id_of[first][rank])
@@ -453,7 +544,7 @@ def _mark(rows: DataFrame, buckets: int, length: int, id: str) -> DataFrame:
                 gone = np.cumsum(change)[:-1] > 0
                 total = np.concatenate([[0], np.cumsum(gone)])
                 removed = total[b.ends] - total[b.starts]
-                found = [[] for _ in FOUND]
+                columns = [[] for _ in FOUND]
                 for i in range(b.n):
                     raw = b.data[b.starts[i] : b.ends[i]]
                     spans = []
@@ -464,33 +555,35 @@ def _mark(rows: DataFrame, buckets: int, length: int, id: str) -> DataFrame:
                         kept = raw[~mine].tobytes()
                     else:
                         kept = raw.tobytes()
-                    for to, x in zip(found, (len(raw), int(removed[i]), len(spans), hashlib.sha256(kept).hexdigest(), zlib.crc32(raw), spans), strict=True):
+                    for to, x in zip(columns, (len(raw), int(removed[i]), len(spans), hashlib.sha256(kept).hexdigest(), zlib.crc32(raw), spans), strict=True):
                         to.append(x)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([pack.ids, *(pa.array(x, k) for x, k in zip(found, kinds, strict=True))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pack.ids, *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], names=schema.names)
 
     return map_arrow(rows, run, schema)
 
 
-def repeated_spans(documents: DataFrame, length: int = LENGTH, id: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
+def repeated_spans(documents: DataFrame, length: int = LENGTH, id: str = "doc_id", text: str = "text", buckets: int | None = None, hot_packs: int = HOT_PACKS) -> DataFrame:
     """One row for each row of ``documents``: id, n_bytes, n_removed, n_spans, kept_sha256, text_crc32 and the removed byte spans."""
     if not GRAM <= length <= GRAM + 62:
         raise ValueError(f"length is {GRAM} to {GRAM + 62}")  # a string's offset is a bit of a verdict
-    spark = documents.sparkSession
-    ship(spark)
-    buckets = buckets or BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packs = materialize(_pack(documents, id, text), "packs")
-    shared = materialize(_share(_spread(packs, buckets, length).repartition("bucket").sortWithinPartitions("bucket")), "shared", release=True)
-    contexts = _gather(_with_answers(packs, shared), buckets, length)
-    verdicts = materialize(_judge(contexts.repartition("bucket").sortWithinPartitions("bucket"), length), "verdicts", release=True)
-    answers = shared.join(verdicts, ["pack", "bucket"])
-    return _mark(_with_answers(packs, answers), buckets, length, id)
+    with scratch() as kept:
+        packs = materialize(_pack(documents, id, text), "packs")
+        if buckets is None:
+            size = packs.agg(F.sum("bytes")).first()[0] or 0
+            buckets = max(BUCKETS_PER_PARTITION * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+        by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
+        shared = materialize(_share(by_bucket(_spread(packs, buckets, length)), hot_packs), "shared")
+        verdicts = materialize(_judge(by_bucket(_gather(_with_answers(packs, shared), buckets, length)), length), "verdicts")
+        kept.append(materialize(_mark(_with_answers(packs, shared, verdicts), buckets, length, id), "spans"))
+    return kept[0]
 
 
 def remove_spans(documents: DataFrame, found: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` with the spans of ``found`` cut out of their texts, as bytes in ``text``."""
+    p = spare_prefix(documents)
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    keyed = documents.withColumn("text_crc32", F.crc32(raw))
-    spans = found.select(id, "text_crc32", "spans").dropDuplicates([id, "text_crc32"])
-    joined = keyed.join(spans, [id, "text_crc32"], "left")
-    return joined.withColumn(text, F.when(F.size("spans") > 0, without_spans(text, "spans")).otherwise(raw)).select(*documents.columns)
+    spans = found.select(F.col(id).alias(p + "id"), F.col("text_crc32").alias(p + "crc"), F.col("spans").alias(p + "spans")).dropDuplicates([p + "id", p + "crc"])
+    # Only texts that lose bytes have spans to find.
+    joined = documents.join(spans.where(F.size(p + "spans") > 0), (F.col(id) == F.col(p + "id")) & (F.crc32(raw) == F.col(p + "crc")), "left")
+    return joined.withColumn(text, F.when(F.col(p + "spans").isNotNull(), without_spans(text, p + "spans")).otherwise(raw)).select(*documents.columns)

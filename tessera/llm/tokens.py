@@ -14,7 +14,10 @@ sections form section -1.
 Defined cases: a null or empty text has one section 0 from 0 to 0 without tokens,
 as has a document with an empty or null list of sections if its text is empty too;
 a section without characters gets no tokens; sections that reach beyond the text
-end with it.
+end with it.  A text of any length and of any one character is encoded whole: where
+long, it is cut where the pattern cuts it, since the tokenizer's own matcher runs out
+of stack on long runs.  Repeated rows and rows of one id are counted each by itself;
+columns of the table beside id, text and sections play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import base64
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +38,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the vocabulary's published pre-tokenisation pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Texts of more characters are cut into the pattern's pieces before they are encoded.
+LONG_TEXT = 20_000
+
 
 class Encoder:
     """Whole texts to token ids, and the byte length of each id's token."""
@@ -47,9 +54,19 @@ class Encoder:
         for token, i in table.items():
             self.lengths[i] = len(token)
 
+        # The same pattern for a matcher that needs no stack; white space as the tokenizer's has it.
+        self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+
+    def ids(self, text: str) -> np.ndarray:
+        """The text's tokens."""
+        if len(text) <= LONG_TEXT:
+            return np.asarray(self.encoding.encode_ordinary(text), np.int64)
+        encode = self.encoding._core_bpe.encode_single_piece
+        return np.fromiter((i for piece in self.pieces.finditer(text) for i in encode(piece.group().encode())), np.int64)
+
     def spans(self, text: str) -> np.ndarray:
         """The byte at which each token ends."""
-        return np.cumsum(self.lengths[np.asarray(self.encoding.encode_ordinary(text), np.int64)])
+        return np.cumsum(self.lengths[self.ids(text)])
 
 
 def attribute(ends: np.ndarray, starts_of: np.ndarray, ends_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:

@@ -257,6 +257,41 @@ def test_spans_of_patched_texts(spark, docs_of):
     assert _found(docs_of(rows), length=30) == brute_spans(rows, 30)
 
 
+@pytest.mark.parametrize("length", [16, 17, 30, 50, 78])
+def test_spans_of_hot_anchors(spark, docs_of, length):
+    """Every anchor hot, in packs of a few texts: contexts are split by what stands beside the anchor."""
+    r = random.Random(length)
+    parts = ["".join(r.choice("ab é") for _ in range(r.randrange(10, 90))) for _ in range(9)]
+    rows = [(i, "".join(r.choice(parts) for _ in range(r.randrange(0, 7)))) for i in range(80)]
+    assert _found(docs_of(rows).repartition(6), length=length, hot_packs=1, buckets=7) == brute_spans(rows, length)
+
+
+def test_spans_when_hashes_collide(spark, docs_of, monkeypatch):
+    """Contexts of one hash are told apart by their bytes."""
+    r = random.Random(5)
+    parts = ["".join(r.choice("abc") for _ in range(r.randrange(20, 90))) for _ in range(6)]
+    rows = [(i, "".join(r.choice(parts) for _ in range(5))) for i in range(30)]
+    found = []
+    monkeypatch.setattr(substrings, "context_keys", lambda data, at, left, right: np.zeros(len(at), np.uint64))
+    pack = substrings._pack(docs_of(rows).coalesce(1), "doc_id", "text").collect()[0]["blob"]
+    whole = substrings.Pack(bytes(pack), 50)
+    every = {k: (substrings._to_bytes(np.sort(np.unique(substrings._six(whole.h, 4)[whole.h % np.uint64(4) == k]))), b"") for k in range(4)}
+    d = substrings.Distinct(whole, 4, every)
+    for at, rank in zip(d.at, d.rank, strict=True):
+        one = d.at[d.first[rank]]
+        b = lambda k: (int(min(whole.at[k] - whole.block.starts[whole.doc[k]], 34)), whole.block.data[max(whole.block.starts[whole.doc[k]], whole.at[k] - 34) : min(whole.block.ends[whole.doc[k]], whole.at[k] + 50)].tobytes())
+        found.append(b(at) == b(one))
+    assert all(found) and len(found) > 50
+
+
+def test_spans_of_other_ids(spark, docs_of):
+    strings = docs_of([(1, "x" * 60)]).selectExpr("cast(doc_id as string) as doc_id", "text")
+    with pytest.raises(TypeError, match="whole number"):
+        substrings.repeated_spans(strings)
+    small = docs_of([(1, "x" * 60), (2, "y" + "x" * 60)]).selectExpr("cast(doc_id as int) as doc_id", "text")
+    assert [r[2] for r in _found(small)] == [0, 60]
+
+
 def test_spans_awkward(spark, awkward):
     found = substrings.repeated_spans(awkward)
     rows = found.collect()
