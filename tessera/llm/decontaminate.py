@@ -2,19 +2,24 @@
 
 Word windows of benchmark items become a hash set that goes to every task; each
 document's windows are looked up in it, and a hit counts only after its words
-were compared.  A benchmark whose windows exceed ``max_broadcast_windows`` is
-not sent as one set: it is dealt into blocks of items, each within the bound, and a
-document meets one block after the other.
+were compared.  A set holds ``max_broadcast_windows`` windows at most.  A benchmark
+with more is dealt into blocks of items within that bound: a pass over the documents
+for each block writes what it hits, the block is taken back from the executors before
+the next one is sent, and a last pass puts the hits of each document together.
 
 Defined cases: a null or empty text has no words, no hits and is kept; an item
 without words never occurs; rows of the benchmark with a null id are left out;
 repeated (id, text) rows count as one; an id with several texts occurs when any
-of them does; an empty benchmark contaminates nothing.
+of them does; an empty benchmark contaminates nothing, and an empty table has no rows.
+Repeated rows of the documents are judged each by itself; a text of any length is
+searched whole.  New columns replace old ones of their names; ``remove_contamination``
+returns the table's own columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from typing import NamedTuple
 
 import numpy as np
@@ -23,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import Block, Words, window_hashes, with_text_columns, without_spans
+from ._state import materialize
+from ._text import Block, Words, map_arrow, slices, spare_prefix, window_hashes, with_text_columns, without_spans
 
 #: Windows that may be held by one task at a time: 8 bytes of hash, 4 of item and about 80 of words each.
 MAX_BROADCAST_WINDOWS = 1_000_000
@@ -66,7 +72,7 @@ def _blocks(benchmark: DataFrame, width: int, most: int, item: str, text: str):
     held, windows = [], 0
     rows = benchmark.select(item, text).where(F.col(item).isNotNull() & F.col(text).isNotNull()).distinct().orderBy(item, text)
     for row in rows.toLocalIterator():
-        n = max(1, len(row[1]) // 2)  # no text has more words than this
+        n = len(row[1]) // 2 + 1  # no text has more words than this
         if held and windows + n > most:
             yield _window_set(held, width)
             held, windows = [], 0
@@ -121,46 +127,119 @@ def find_contamination(
     """``documents`` with their hit words, items and hit byte spans; nothing is removed yet.
 
     A window is ``width`` consecutive words of an item, or all its words if it has
-    fewer.  One pass over the documents and no shuffle, whatever the skew.
+    fewer.  One pass over the documents and no shuffle, whatever the skew, as long as
+    the benchmark's windows are within the bound.
     """
-    context = documents.sparkSession.sparkContext
-    # Each block is its own broadcast: a task fetches, uses and drops one after the other.
-    sent = [context.broadcast(b) for b in _blocks(benchmark, width, max_broadcast_windows, item, item_text)]
+    blocks = _blocks(benchmark, width, max_broadcast_windows, item, item_text)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is not None:
+        return _in_passes(documents, itertools.chain((first, second), blocks), text, keep, prefix)
+    sent = documents.sparkSession.sparkContext.broadcast(first)
 
     def make():
         def find(block: Block) -> dict:
-            words = Words(block)
-            hashes = words.hashes()
-            hit = np.zeros(len(hashes), bool)
-            doc_of = np.repeat(np.arange(block.n), words.counts)
-            items: list[set] = [set() for _ in range(block.n)]
-            for b in sent:
-                _look_up(words, hashes, b.value, hit, doc_of, items)
-            total = np.concatenate([[0], np.cumsum(hit)])
-            n_hit = total[words.first[1:]] - total[words.first[:-1]]
-            spans = []
-            for i in range(block.n):
-                if not n_hit[i]:
-                    spans.append([])
-                    continue
-                a, b = words.first[i], words.first[i + 1]
-                mark = np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]]))
-                s, e = np.flatnonzero(mark == 1) + a, np.flatnonzero(mark == -1) + a - 1
-                spans.append([{"start": int(words.starts[x] - block.starts[i]), "end": int(words.ends[y] - block.starts[i])} for x, y in zip(s, e, strict=True)])
-            return {
-                "n_words": words.counts.astype(np.int64),
-                "n_hit": n_hit.astype(np.int64),
-                "n_items": np.array([len(x) for x in items], np.int64),
-                "items_sha256": pa.array([hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items], pa.string()),
-                "contaminated": n_hit > 0,
-                "hit_spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-            }
+            words, hit, items = _search(block, sent.value)
+            return _report(block, words, hit, items)
 
         return find
 
     return with_text_columns(documents, text, FOUND, make, keep, prefix)
 
 
+def _search(block: Block, windows: WindowSet | None) -> tuple[Words, np.ndarray, list[set]]:
+    """The block's words, which of them are hit, and each text's items."""
+    words = Words(block)
+    hashes = words.hashes()
+    hit = np.zeros(len(hashes), bool)
+    items: list[set] = [set() for _ in range(block.n)]
+    if windows is not None:
+        _look_up(words, hashes, windows, hit, np.repeat(np.arange(block.n), words.counts), items)
+    return words, hit, items
+
+
+def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each run of hit words."""
+    mark = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    return np.flatnonzero(mark == 1), np.flatnonzero(mark == -1) - 1
+
+
+def _report(block: Block, words: Words, hit: np.ndarray, items: list[set]) -> dict:
+    """The columns of FOUND."""
+    total = np.concatenate([[0], np.cumsum(hit)])
+    n_hit = total[words.first[1:]] - total[words.first[:-1]]
+    spans = []
+    for i in range(block.n):
+        s, e = _runs(hit[words.first[i] : words.first[i + 1]]) if n_hit[i] else ((), ())
+        spans.append([{"start": int(words.starts[words.first[i] + x] - block.starts[i]), "end": int(words.ends[words.first[i] + y] - block.starts[i])} for x, y in zip(s, e, strict=True)])
+    return {
+        "n_words": words.counts.astype(np.int64),
+        "n_hit": n_hit.astype(np.int64),
+        "n_items": np.array([len(x) for x in items], np.int64),
+        "items_sha256": pa.array([hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items], pa.string()),
+        "contaminated": n_hit > 0,
+        "hit_spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+    }
+
+
+_HITS = T.StructType([T.StructField("row", T.LongType()), T.StructField("first", T.ArrayType(T.LongType())), T.StructField("last", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
+
+
+def _in_passes(documents: DataFrame, blocks, text: str, keep: list[str] | None, prefix: str) -> DataFrame:
+    """find_contamination by one pass for each block, so that a task never holds more than one."""
+    p = spare_prefix(documents)
+    row, held = p + "row", p + "hits"
+    # Numbers are written down: they must be the same in every pass.
+    numbered = materialize(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    context = documents.sparkSession.sparkContext
+    found = []
+    for windows in blocks:
+        sent = context.broadcast(windows)
+
+        def run(batches, sent=sent):
+            for batch in batches:
+                for part in slices(batch, 1):
+                    words, hit, items = _search(Block(part.column(1)), sent.value)
+                    own = [i for i in range(part.num_rows) if items[i]]
+                    runs = [_runs(hit[words.first[i] : words.first[i + 1]]) for i in own]
+                    rows = (part.column(0).take(pa.array(own, pa.int64())), *(pa.array([r[k].tolist() for r in runs], pa.list_(pa.int64())) for k in (0, 1)), pa.array([sorted(map(str, items[i])) for i in own], pa.list_(pa.string())))
+                    yield pa.RecordBatch.from_arrays(rows, names=_HITS.names)
+
+        found.append(materialize(map_arrow(numbered.select(row, text), run, _HITS), "hits"))
+        sent.destroy()  # no executor holds two blocks
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    # At most one row for each document and block that hits it.
+    hits = every.groupBy(F.col("row").alias(row)).agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("last")).alias("last"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    joined = numbered.join(hits.select(row, F.struct("first", "last", "items").alias(held)), row, "left").drop(row)
+    return _merged(joined, text, held, documents.columns if keep is None else keep, prefix)
+
+
+def _merged(joined: DataFrame, text: str, held: str, keep: list[str], prefix: str) -> DataFrame:
+    """The columns of FOUND from the hits of all passes in column ``held``."""
+    added = [T.StructField(prefix + f.name, f.dataType) for f in FOUND]
+    fresh = {f.name.lower() for f in added}
+    kept = [c for c in keep if c.lower() not in fresh]
+    source = joined.select(*kept, F.col(text).alias(held + "text"), held)
+    schema = T.StructType([source.schema[c] for c in kept] + added)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, len(kept)):
+                block = Block(part.column(len(kept)))
+                words, hit, items = _search(block, None)
+                for i, own in enumerate(part.column(len(kept) + 1).to_pylist()):
+                    if own:
+                        items[i].update(own["items"])
+                        for x, y in zip(own["first"], own["last"], strict=True):
+                            hit[words.first[i] + x : words.first[i] + y + 1] = True
+                new = _report(block, words, hit, items)
+                arrays = [a if isinstance(a := new[f.name], pa.Array) else pa.array(a) for f in FOUND]
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(kept))] + arrays, names=schema.names)
+
+    return map_arrow(source, run, schema)
+
+
 def remove_contamination(documents: DataFrame, benchmark: DataFrame, mode: str = "documents", min_hit_share: float = 0.0, text: str = "text", **options) -> DataFrame:
     """``documents`` without contamination, with their own columns.
 
@@ -168,10 +247,11 @@ def remove_contamination(documents: DataFrame, benchmark: DataFrame, mode: str =
     of the words are hit; ``mode="spans"`` keeps every document and cuts the hit
     byte spans out of its text.  Documents without hits come back unchanged.
     """
-    found = find_contamination(documents, benchmark, text=text, prefix="__", **options)
-    if mode == "documents":
-        share = F.col("__n_hit") > F.col("__n_words") * F.lit(float(min_hit_share))
-        return found.where(~(F.col("__contaminated") & share)).select(*documents.columns)
-    if mode != "spans":
+    if mode not in ("documents", "spans"):
         raise ValueError(f"mode is documents or spans, not {mode}")
-    return found.withColumn(text, F.when(F.col("__contaminated"), without_spans(text, "__hit_spans").cast("string")).otherwise(F.col(text))).select(*documents.columns)
+    p = spare_prefix(documents)
+    found = find_contamination(documents, benchmark, text=text, prefix=p, **options)
+    if mode == "documents":
+        share = F.col(p + "n_hit") > F.col(p + "n_words") * F.lit(float(min_hit_share))
+        return found.where(~(F.col(p + "contaminated") & share)).select(*documents.columns)
+    return found.withColumn(text, F.when(F.col(p + "contaminated"), without_spans(text, p + "hit_spans").cast("string")).otherwise(F.col(text))).select(*documents.columns)

@@ -4,13 +4,19 @@ Resizing averages over areas: the integral image is read at fractional borders,
 so each target pixel is the exact mean of what it covers, for larger and smaller
 targets alike.  Tiles are NPY bytes.
 
-Defined cases: null bytes give null tile and hash; bytes that are no image of
-these formats, or a cut one, give nulls and the reason in ``error``.
+A text becomes an image 64 samples wide, one sample a byte, padded with zeros: a BMP
+where the CRC-32 of the padded text is odd, else a binary PGM, so that equal texts are
+stored alike and both formats are met.
+
+Defined cases: null bytes give null tile and hash; bytes that are no image of these
+formats, or a cut one, or a kind of BMP beyond those named in ``decode_bmp``, give nulls
+and the reason in ``error``; a null or empty text is stored as 64 zeros; a text of any
+length is one image; repeated rows are stored each by itself, and alike; an empty table
+gives no rows.  New columns replace old ones of their names, others stay as they are.
 """
 
 from __future__ import annotations
 
-import hashlib
 import io
 import struct
 import zlib
@@ -48,7 +54,10 @@ def _netpbm_header(raw: bytes, count: int) -> tuple[list[int], int]:
 
 
 def decode_netpbm(raw: bytes) -> np.ndarray:
-    """P1-P6 as an array (height, width) or (height, width, 3) of uint8, or uint16 where maxval is over 255."""
+    """P1-P6 as an array (height, width) or (height, width, 3) of uint8, or uint16 where maxval is over 255.
+
+    Samples of another maxval than 255 or 65535 are scaled, to the nearest, so that white is white.
+    """
     kind = raw[1] - 48
     (width, height, *rest), at = _netpbm_header(raw, 2 if kind in (1, 4) else 3)
     top = rest[0] if rest else 1
@@ -69,7 +78,11 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
         out = np.frombuffer(raw, ">u2" if top > 255 else np.uint8, n, at + 1).reshape(shape)
     if kind in (1, 4):
         return ((1 - out) * 255).astype(np.uint8)  # 1 is black
-    return out.astype(np.uint16 if top > 255 else np.uint8)
+    white = 65535 if top > 255 else 255
+    if n and int(out.max()) > top:
+        raise ValueError("sample beyond maxval")
+    scaled = out if top == white else (out.astype(np.int64) * (2 * white) + top) // (2 * top)
+    return scaled.astype(np.uint16 if top > 255 else np.uint8)
 
 
 def encode_pgm(samples: np.ndarray) -> bytes:
@@ -77,17 +90,32 @@ def encode_pgm(samples: np.ndarray) -> bytes:
     return b"P5\n%d %d\n255\n" % (samples.shape[1], samples.shape[0]) + np.ascontiguousarray(samples, np.uint8).tobytes()
 
 
+def _masked(pixels: np.ndarray, mask: int) -> np.ndarray:
+    """The channel of a colour mask on the scale of 0 to 255, to the nearest; without a mask, none of it."""
+    if not mask:
+        return np.zeros(pixels.shape, np.uint8)
+    low = (mask & -mask).bit_length() - 1
+    top = mask >> low
+    if top & (top + 1):
+        raise ValueError("BMP mask with gaps")
+    return ((510 * ((pixels & mask) >> low) + top) // (2 * top)).astype(np.uint8)
+
+
 def decode_bmp(raw: bytes) -> np.ndarray:
-    """Uncompressed 1-, 4-, 8-, 24- and 32-bit BMP; palettes become grey where all their colours are grey."""
+    """Uncompressed 1-, 4-, 8-, 16-, 24- and 32-bit BMP, 16 and 32 bits also with colour masks; a grey palette gives grey."""
     begin, header = struct.unpack_from("<I", raw, 10)[0], struct.unpack_from("<I", raw, 14)[0]
     if header < 40:
         raise ValueError("BMP header of an unknown size")
     width, height, _, bits, packing = struct.unpack_from("<iiHHI", raw, 18)
-    if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32) or width <= 0 or height == 0:
+    if packing not in (0, 3) or bits not in (1, 4, 8, 16, 24, 32) or (packing == 3 and bits not in (16, 32)) or width <= 0 or height == 0:
         raise ValueError("BMP of an unknown kind")
     rows, stride = abs(height), (width * bits + 31) // 32 * 4
     body = np.frombuffer(raw, np.uint8, rows * stride, begin).reshape(rows, stride)
     body = body[::-1] if height > 0 else body
+    if bits in (16, 32) and (packing == 3 or bits == 16):
+        masks = struct.unpack_from("<III", raw, 54) if packing == 3 else (0x7C00, 0x03E0, 0x001F)
+        pixels = body[:, : width * bits // 8].copy().view("<u2" if bits == 16 else "<u4").astype(np.int64)
+        return np.stack([_masked(pixels, m) for m in masks], axis=2)
     if bits >= 24:
         return body[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, 2::-1]
     if bits == 8:
@@ -199,35 +227,33 @@ def media_tiles(images: DataFrame, content: str = "content", size: int = TILE, k
 
 STORED = [
     T.StructField("n_bytes", T.LongType()),
-    T.StructField("payload_bytes", T.LongType()),
-    T.StructField("payload_sha256", T.StringType()),
-    T.StructField("tail_crc32", T.LongType()),
-    T.StructField("media_bytes", T.LongType()),
-    T.StructField("media_sha256", T.StringType()),
-    T.StructField("feature", T.StringType()),
+    T.StructField("media_format", T.StringType()),
+    T.StructField("media", T.BinaryType()),
+    T.StructField("payload", T.BinaryType()),
+    T.StructField("tile", T.BinaryType()),
+    T.StructField("dhash", T.StringType()),
 ]
 
 
-def store_payload(raw: bytes) -> bytes:
-    """The bytes, zero-padded to a positive multiple of 64, as a binary PGM 64 samples wide."""
+def store_payload(raw: bytes) -> tuple[str, bytes]:
+    """The bytes, zero-padded to a positive multiple of 64, as a grey image 64 samples wide, and its format."""
     padded = raw + b"\0" * (max(PAYLOAD_UNIT, -(-len(raw) // PAYLOAD_UNIT) * PAYLOAD_UNIT) - len(raw))
-    return encode_pgm(np.frombuffer(padded, np.uint8).reshape(-1, PAYLOAD_UNIT))
+    samples = np.frombuffer(padded, np.uint8).reshape(-1, PAYLOAD_UNIT)
+    return ("bmp", encode_bmp(samples)) if zlib.crc32(padded) % 2 else ("pgm", encode_pgm(samples))
 
 
-def text_media(documents: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Each text stored as an image and read back: digests of both, and hash and tile checksum as ``feature``."""
+def text_media(documents: DataFrame, text: str = "text", size: int = TILE, keep: list[str] | None = None) -> DataFrame:
+    """Each text stored as an image, the payload read back from it, and the image's NPY tile and difference hash."""
 
     def make():
         def run(block: Block) -> dict:
             rows = []
             for i in range(block.n):
                 raw = block.raw(i)
-                media = store_payload(raw)
+                kind, media = store_payload(raw)
                 image = decode(media)
-                payload = image.tobytes()
-                feature = f"{difference_hash(image)}-{zlib.crc32(npy_tile(image)):08x}"
-                rows.append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAYLOAD_UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                rows.append((len(raw), kind, media, image.tobytes(), npy_tile(image, size), difference_hash(image)))
+            kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.string())
             return {f.name: pa.array([r[k] for r in rows], kinds[k]) for k, f in enumerate(STORED)}
 
         return run

@@ -44,8 +44,19 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text stored as an image and read back, with its difference hash."""
-    return media.text_media(documents(spark, sf_dir, "doc_id", "text"), keep=["doc_id"])
+    """Every text stored as an image and read back: digests of both, difference hash and checksum of the tile."""
+    found = media.text_media(documents(spark, sf_dir, "doc_id", "text"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -media.PAYLOAD_UNIT, media.PAYLOAD_UNIT)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws("-", "dhash", F.lpad(F.lower(F.hex(F.crc32("tile"))), 8, "0")).alias("feature"),
+        "media_format",
+    )
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +93,26 @@ _ENTROPY_OK = """(SELECT CASE WHEN count(*) > 1 THEN -sum(r / z * ln(r / z)) / l
 _PASSES_OK = """(SELECT max(r / z / tokens) / min(r / z / tokens) <= {limit} FROM (SELECT tokens, pow(share, {x}) AS r, sum(pow(share, {x})) OVER () AS z FROM t))"""
 
 ORACLE: dict[str, str] = {
+    "op3_ngram_jaccard": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[p : p + {jaccard.SHINGLE_WORDS} - 1], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {jaccard.SHINGLE_WORDS} + 1, 1) + 1)) AS p FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k * {jaccard.THRESHOLD.denominator} >= (x.n + y.n - k) * {jaccard.THRESHOLD.numerator}),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other)
+SELECT r.doc_id, min(other) AS class_id, (SELECT count(*) FROM l WHERE l.a = r.doc_id)::BIGINT AS n_links FROM r GROUP BY r.doc_id""",
+    "op4_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+g AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 100)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)),
+f AS (SELECT k, min(doc_id) AS first FROM g GROUP BY k HAVING count(*) > 1),
+c AS (SELECT g.doc_id, p, lag(p) OVER w AS before, lead(p) OVER w AS after FROM g JOIN f ON f.k = g.k AND f.first < g.doc_id WINDOW w AS (PARTITION BY g.doc_id ORDER BY p)),
+b AS (SELECT doc_id, p FROM c WHERE before IS NULL OR p - before > 50),
+e AS (SELECT doc_id, p + 50 AS q FROM c WHERE after IS NULL OR after - p > 50),
+t AS (SELECT x.doc_id, p, q, coalesce(lag(q) OVER (PARTITION BY x.doc_id ORDER BY p), 0) AS past
+    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM b) x JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY q) AS i FROM e) y USING (doc_id, i)),
+s AS (SELECT d.doc_id, sum(q - p)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * past + 1, 2 * (p - past)), '' ORDER BY p) || substr(any_value(h), 2 * max(q) + 1) AS kept FROM t JOIN d USING (doc_id) GROUP BY d.doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)""",
     "op10_temperature_mix": f"""
 WITH RECURSIVE d AS (SELECT doc_id, source, greatest(1, (octet_length(encode(coalesce(text, ''))) + 3) // 4)::BIGINT AS n_tokens FROM documents),
 t0 AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY source),

@@ -9,7 +9,11 @@ enough.  Training sees texts' labels only and follows the gradient through that
 sum.  A logistic curve fitted on texts kept apart calibrates the score.
 
 Defined cases: a null text, an empty one and one without words score 0; without
-labels of both kinds every score is the share of toxic labels.
+labels of both kinds every other score is the share of toxic labels (0 without any); a
+text of any length is scored whole, some thousand windows at a time; equal texts have
+equal scores, so ties and repeated rows are scored each by itself; an empty table gives
+no rows.  Of several labels of an id the largest holds; null ids and labels teach
+nothing.  New columns replace old ones of their names, others stay as they are.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ WINDOW, STRIDE = 32, 16
 WORD_ROWS, TRIGRAM_ROWS = 1 << 14, 1 << 12
 WIDTH, UNITS, ATTENTION = 12, 12, 8
 EPOCHS, BATCH_TEXTS, RATE = 6, 24, 0.004
+#: Windows scored at a time, so that a long text takes no more memory than its words.
+WINDOWS_AT_ONCE = 4096
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -113,21 +119,30 @@ class Network:
             states[t] = h = new
         return states
 
+    def logits(self, x: Input) -> np.ndarray:
+        """Each window's logit."""
+        fed = self.embed(x) @ self.p["wx"] + self.p["bx"]
+        n = len(x.text_of)
+        parts = [slice(k, k + WINDOWS_AT_ONCE) for k in range(0, n, WINDOWS_AT_ONCE)]
+        return np.concatenate([self._pool(fed[x.index[:, k]], x.mask[:, k], None, None)[0] for k in parts]) if n else np.zeros(0, np.float32)
+
     def forward(self, x: Input, keep: bool = False):
-        p = self.p
         e = self.embed(x)
-        gates = (e @ p["wx"] + p["bx"])[x.index]
         kf, kb = ([], []) if keep else (None, None)
-        hf = self._run(gates[:, :, : 3 * UNITS], p["uf"], x.mask, range(WINDOW), kf)
-        hb = self._run(gates[:, :, 3 * UNITS :], p["ub"], x.mask, range(WINDOW - 1, -1, -1), kb)
+        logit, held = self._pool((e @ self.p["wx"] + self.p["bx"])[x.index], x.mask, kf, kb)
+        return logit, (e, kf, kb, *held) if keep else None
+
+    def _pool(self, gates: np.ndarray, mask: np.ndarray, kf: list | None, kb: list | None):
+        p = self.p
+        hf = self._run(gates[:, :, : 3 * UNITS], p["uf"], mask, range(WINDOW), kf)
+        hb = self._run(gates[:, :, 3 * UNITS :], p["ub"], mask, range(WINDOW - 1, -1, -1), kb)
         h = np.concatenate([hf, hb], axis=2)
         a = np.tanh(h @ p["wa"] + p["ba"])
-        s = np.where(x.mask > 0, a @ p["va"], np.float32(-1e9))
+        s = np.where(mask > 0, a @ p["va"], np.float32(-1e9))
         w = np.exp(s - s.max(axis=0, keepdims=True))
         w /= w.sum(axis=0, keepdims=True)
         pooled = np.einsum("tn,tnh->nh", w, h)
-        logit = pooled @ p["out"] + p["bias"][0]
-        return logit, (e, kf, kb, h, a, w, pooled) if keep else None
+        return pooled @ p["out"] + p["bias"][0], (h, a, w, pooled)
 
     @staticmethod
     def _back(kept: list, dh_all: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +245,7 @@ class ToxicityModel:
             x = Input(block)
             if not len(x.text_of):
                 return np.zeros(block.n)
-            whole = text_logits(net.forward(x)[0].astype(np.float64), x.bounds)
+            whole = text_logits(net.logits(x).astype(np.float64), x.bounds)
             return np.where(np.diff(x.bounds) > 0, _sigmoid(np.clip(self.slope * whole + self.shift, -30, 30)), 0.0)
 
         return score
@@ -252,7 +267,7 @@ def learn(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_cla
         logits = []
         for part in slices(batch, 0):
             x = Input(Block(part.column(0)))
-            logits.append(text_logits(net.forward(x)[0].astype(np.float64), x.bounds))
+            logits.append(text_logits(net.logits(x).astype(np.float64), x.bounds))
         y = np.array([y for _, y in test])
         weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
         # A mark at either end keeps the curve finite where the sample is told apart without error.

@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import io
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -103,6 +105,87 @@ def test_network_gradient():
         assert (values[0] - values[1]) / 2e-3 == pytest.approx(float(g[name][at]), rel=2e-2, abs=2e-3), name
 
 
+def test_awkward_scores(spark, awkward):
+    """Null, empty and wordless texts have the score that the docstrings name; equal texts have equal ones."""
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), int(i % 4 == 0)) for i in range(2, 60)], "doc_id long, quality int, toxic int")
+    texts = spark.createDataFrame([(i, f"{'fine words of text' if i % 4 else 'stupid hateful idiots'} number {i} " * 9) for i in range(2, 60)], "doc_id long, text string")
+    held = spark.range(60).where(queries.held_out(F.col("id"), 5, 0)).count()
+    assert held
+    q, t = quality.learn(texts, labels), toxicity.learn(texts, labels)
+    assert q.good and t.weights
+    for module, model, empty in ((quality, q, q.prior), (toxicity, t, 0.0)):
+        rows = module.score(awkward, model).collect()
+        assert [r["score"] for r in rows if not r["text"]] == [empty] * 2
+        assert len({r["score"] for r in rows if r["doc_id"] == 5}) == 1
+    assert {r["score"] for r in toxicity.score(awkward, t).where("doc_id = 3").collect()} == {0.0}
+
+
+def test_quality_is_the_difference_of_sizes(spark):
+    """The score again by compressing plainly."""
+    import zstandard
+
+    good, bad = b"the quiet river runs by the old mill " * 30, b"BUY NOW!!! cheap cheap $$$ click " * 30
+    model = quality.QualityModel(good, bad, -25.0, 0.5, 0.7)
+    text = "the old mill by the quiet river, cheap " * 20
+
+    def size(raw, dictionary):
+        to = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_dict_id=False, write_checksum=False)
+        return sum(len(to.compress(raw[k : k + quality.PIECE_BYTES])) for k in range(0, len(raw), quality.PIECE_BYTES))
+
+    raw = text.encode()
+    want = 1 / (1 + np.exp(-(0.5 - 25.0 * (size(raw, good) - size(raw, bad)) / len(raw))))
+    assert model.scorer()(raw) == pytest.approx(want)
+    rows = quality.score(spark.createDataFrame([(text,)], "text string"), model).collect()
+    assert rows[0]["score"] == pytest.approx(want) and rows[0]["predicted"] == int(want >= 0.3)
+
+
+def test_network_forward_step_by_step():
+    """Scores of whole texts by plain loops over windows, words and units."""
+    net = toxicity.Network(9)
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    texts = ["one two three", "Some Words été " * 25, "x"]
+    model = toxicity.ToxicityModel(net.p, 1.3, 0.2, 0.1)
+    found = model.scorer()(Block(pa.array(texts)))
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    u, w = toxicity.UNITS, toxicity.WINDOW
+
+    def vector(word):
+        h = Words(Block(pa.array([word]))).hashes()[0]
+        raw = [1, *word.encode(), 2]
+        rows = [int(toxicity.mix64(np.array([(raw[k - 1] << 16) | (raw[k] << 8) | raw[k + 1]], np.uint64))[0] % np.uint64(toxicity.TRIGRAM_ROWS)) for k in range(1, len(raw) - 1)]
+        return p["word"][int(h % np.uint64(toxicity.WORD_ROWS))] + p["tri"][rows].mean(axis=0)
+
+    def run(vectors, which, cells):
+        h, out = np.zeros(u), []
+        for e in vectors:
+            g = (e @ p["wx"] + p["bx"])[which * 3 * u : (which + 1) * 3 * u]
+            z, r = sig(g[:u] + h @ cells[:, :u]), sig(g[u : 2 * u] + h @ cells[:, u : 2 * u])
+            c = np.tanh(g[2 * u :] + (r * h) @ cells[:, 2 * u :])
+            h = (1 - z) * h + z * c
+            out.append(h)
+        return out
+
+    for text, got in zip(texts, found, strict=True):
+        words, logits, at = words_of(text), [], 0
+        while True:
+            vectors = [vector(x) for x in words[at : at + w]]
+            hs = [np.concatenate(x) for x in zip(run(vectors, 0, p["uf"]), run(vectors[::-1], 1, p["ub"])[::-1], strict=True)]
+            weight = np.array([np.exp(np.tanh(h @ p["wa"] + p["ba"]) @ p["va"]) for h in hs])
+            logits.append(sum(x * h for x, h in zip(weight / weight.sum(), hs, strict=True)) @ p["out"] + p["bias"][0])
+            if at + w >= len(words):
+                break
+            at += toxicity.STRIDE
+        assert got == pytest.approx(sig(1.3 * np.log(np.exp(logits).sum()) + 0.2), abs=1e-4)
+
+
+def test_many_windows_at_a_time(monkeypatch):
+    net = toxicity.Network(2)
+    x = toxicity.Input(Block(pa.array(["some words to be scored " * 200, "", "few"])))
+    whole = net.forward(x)[0]
+    monkeypatch.setattr(toxicity, "WINDOWS_AT_ONCE", 7)
+    assert len(whole) > 20 and np.allclose(net.logits(x), whole, atol=1e-5)
+
+
 def test_windows_cover_every_word():
     text = " ".join(f"w{i}" for i in range(203))
     x = toxicity.Input(Block(pa.array([text, "a", ""])))
@@ -174,6 +257,26 @@ def test_jaccard_awkward(spark, awkward):
     assert jaccard.jaccard_classes(awkward.limit(0)).count() == 0
 
 
+def test_classes_of_other_ids(spark, docs_of):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    docs = docs_of([(2, text), (1, text + " thirteen"), (3, "quite another text than the others of this table")]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.jaccard_classes(docs).collect()}
+    assert got == {"d1": ("d1", 1), "d2": ("d1", 1), "d3": ("d3", 0)}
+    mine = docs.withColumn("__id", F.lit("mine")).withColumn("__hash", F.lit("mine")).withColumn("node", F.lit("mine"))
+    kept = jaccard.keep_first(mine)
+    assert kept.columns == mine.columns and {(r["doc_id"], r["__id"], r["__hash"]) for r in kept.collect()} == {("d1", "mine", "mine"), ("d3", "mine", "mine")}
+
+
+def test_sets_of_one_number_stay_apart(spark, docs_of, monkeypatch):
+    """All sets share the first number: the second tells them apart."""
+    docs = docs_of([(1, "a b c d e f"), (2, "a b c d e f"), (3, "p q r s t u"), (4, "z")])
+    rows = jaccard._describe(docs, "doc_id", "text")
+    rows = rows.withColumn("node", F.lit(5).cast("long"))
+    monkeypatch.setattr(jaccard, "_describe", lambda *a: rows)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.jaccard_classes(docs).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
+
+
 def test_unlike_texts_of_one_id_both_stay(spark, docs_of):
     a, b = "one two three four five six seven eight nine ten " * 3, "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3
     kept = jaccard.keep_first(docs_of([(1, a), (1, b), (2, a), (3, b), (4, ""), (4, "..."), (4, "...")]))
@@ -284,6 +387,16 @@ def test_spans_when_hashes_collide(spark, docs_of, monkeypatch):
     assert all(found) and len(found) > 50
 
 
+def test_removal_keeps_columns(spark, docs_of):
+    long = "a passage of more than fifty bytes that two documents share word for word"
+    docs = docs_of([(1, "first " + long), (2, long + " second"), (3, None)]).withColumn("spans", F.lit("mine")).withColumn("text_crc32", F.lit("mine")).withColumn("__id", F.lit("mine"))
+    cut = substrings.remove_spans(docs, substrings.repeated_spans(docs))
+    assert cut.columns == docs.columns
+    rows = {r["doc_id"]: r for r in cut.collect()}
+    assert bytes(rows[2]["text"]) == b" second" and bytes(rows[1]["text"]).startswith(b"first a passage") and bytes(rows[3]["text"]) == b""
+    assert all((r["spans"], r["text_crc32"], r["__id"]) == ("mine",) * 3 for r in rows.values())
+
+
 def test_spans_of_other_ids(spark, docs_of):
     strings = docs_of([(1, "x" * 60)]).selectExpr("cast(doc_id as string) as doc_id", "text")
     with pytest.raises(TypeError, match="whole number"):
@@ -350,6 +463,24 @@ def test_border_goes_to_the_larger_half():
     assert count.tolist() == [1, 0] and crossing.tolist() == [1, 0]
 
 
+def test_tokens_of_long_runs(spark, docs_of):
+    """A million characters of one kind; where short, cut or not gives the same tokens."""
+    encoder = tokens.Encoder(tokens.read_vocabulary(spark, tokens.VOCABULARY))
+    texts = [" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000, "é!" * 400_000, " x" * 300_000, " " * 100_000 + "end"]
+    rows = tokens.count_tokens(docs_of(list(enumerate(texts)))).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("doc_tokens").alias("m"), F.max("end_byte").alias("e")).collect()
+    assert {r["doc_id"] for r in rows} == set(range(6)) and all(r["n"] == r["m"] for r in rows)
+    assert {r["doc_id"]: r["e"] for r in rows} == {i: len(t.encode()) for i, t in enumerate(texts)}
+    r = random.Random(4)
+    for _ in range(30):
+        t = "".join(r.choice(" \n\t\r  \x1c\x85 aZé日1२½!'’sdt") * r.choice((1, 1, 1, 7)) for _ in range(400))
+        whole = encoder.ids(t)
+        tokens.LONG_TEXT, before = 0, tokens.LONG_TEXT
+        try:
+            assert encoder.ids(t).tolist() == whole.tolist()
+        finally:
+            tokens.LONG_TEXT = before
+
+
 def test_tokens_awkward(spark, awkward):
     assert {r["doc_id"] for r in tokens.count_tokens(awkward).collect()} == {1, 2, 3, 4, 5, 6, 7, None}
     assert tokens.count_tokens(awkward.limit(0)).count() == 0
@@ -416,9 +547,119 @@ def test_text_media_round_trip(spark, documents, awkward):
         assert sorted((str(r["doc_id"]), r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in rows) == sorted(want)
 
 
+def test_maxval_and_masks():
+    for top in (1, 3, 100, 255, 256, 1023, 65535):
+        samples = np.array([[0, top // 2, top]])
+        raw = b"P5 3 1 %d\n" % top + samples.astype(">u2" if top > 255 else np.uint8).tobytes()
+        got, white = media.decode(raw), 65535 if top > 255 else 255
+        assert got[0, 0] == 0 and got[0, 2] == white and abs(int(got[0, 1]) - white * (top // 2) / top) <= 0.5
+        assert np.load(io.BytesIO(media.npy_tile(got, 3)))[0].tolist()[::2] == [0, 255]
+        assert media.decode(b"P2 3 1 %d\n0 %d %d" % (top, top // 2, top)).tolist() == got.tolist()
+    with pytest.raises(ValueError, match="maxval"):
+        media.decode(b"P5 1 1 100\n\xff")
+
+    def bmp(bits, packing, masks, body, width=2):
+        head = struct.pack("<IiiHHIIiiII", 40, width, 1, 1, bits, packing, len(body), 0, 0, 0, 0) + masks
+        return struct.pack("<2sIHHI", b"BM", 14 + len(head) + len(body), 0, 0, 14 + len(head)) + head + body
+
+    rgb = [[[255, 0, 0], [0, 0, 255]]]
+    assert media.decode(bmp(16, 0, b"", struct.pack("<HH", 0x7C00, 0x001F))).tolist() == rgb
+    assert media.decode(bmp(16, 3, struct.pack("<III", 0xF800, 0x07E0, 0x001F), struct.pack("<HH", 0xF800, 0x001F))).tolist() == rgb
+    assert media.decode(bmp(32, 3, struct.pack("<III", 0xFF, 0xFF00, 0xFF0000), struct.pack("<II", 0xFF, 0xFF0000))).tolist() == rgb
+    assert media.decode(bmp(32, 0, b"", bytes([0, 0, 255, 0, 255, 0, 0, 0]))).tolist() == rgb
+    with pytest.raises(ValueError, match="kind"):
+        media.decode(bmp(24, 3, b"\0" * 12, bytes(8)))
+    with pytest.raises(ValueError, match="gaps"):
+        media.decode(bmp(16, 3, struct.pack("<III", 0xF0F0, 0, 0), bytes(4)))
+
+
+def _plain_cells(image, rows, columns):
+    """Means of areas by spreading every sample, one after the other."""
+    h, w = image.shape
+    out = np.zeros((rows, columns))
+    for y in range(rows):
+        for x in range(columns):
+            y0, y1, x0, x1 = y * h / rows, (y + 1) * h / rows, x * w / columns, (x + 1) * w / columns
+            wy = np.clip(np.minimum(np.arange(h) + 1, y1) - np.maximum(np.arange(h), y0), 0, None)
+            wx = np.clip(np.minimum(np.arange(w) + 1, x1) - np.maximum(np.arange(w), x0), 0, None)
+            out[y, x] = wy @ image @ wx / (wy.sum() * wx.sum())
+    return out
+
+
+def test_media_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = queries.op6_media_columns(spark, sf).collect()
+    assert len(rows) == len(texts) and {r["media_format"] for r in rows} == {"bmp", "pgm"}
+    for r in rows[::7]:
+        raw = (texts[r["doc_id"]] or "").encode()
+        padded = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        image = np.frombuffer(padded, np.uint8).reshape(-1, 64).astype(float)
+        cells = np.round(_plain_cells(image, 8, 9), 6)
+        bits = "".join("1" if cells[y, x + 1] > cells[y, x] else "0" for y in range(8) for x in range(8))
+        tile = io.BytesIO()
+        np.save(tile, np.floor(np.round(_plain_cells(image, 32, 32), 6) + 0.5).astype(np.uint8))
+        assert r["feature"] == f"{int(bits, 2):016x}-{zlib.crc32(tile.getvalue()):08x}"
+        stored = b"P5\n64 %d\n255\n" % len(image) + padded
+        if r["media_format"] == "pgm":
+            assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        else:
+            assert r["media_bytes"] == 14 + 40 + 1024 + len(padded)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+
+
 # -- 7: languages
 
 
+def test_kneser_ney_by_the_book():
+    """Cross-entropies against a plain dictionary version over the same classes."""
+    texts = {"a": ["the cat sat on the mat", "a hat"], "b": ["la casa de la mesa", "el gato"]}
+    encoder = language.Encoder()
+    table = lambda t: encoder.classes(np.array([ord(c) for c in t], np.uint32)).tolist()
+
+    def line(text):
+        out = [0] * 3
+        for c in table(text):
+            if c or out[-1] or len(out) < 3:
+                out.append(c)
+        return out
+
+    def plain(corpus):
+        levels = [dict() for _ in range(5)]
+        for text in corpus:
+            own = line(text)
+            for k in range(3, len(own)):
+                g = tuple(own[k - 3 : k + 1])
+                levels[4][g] = levels[4].get(g, 0) + 1
+        for n in (3, 2, 1):
+            for g in levels[n + 1]:
+                levels[n][g[1:]] = levels[n].get(g[1:], 0) + 1
+
+        def p(g):
+            if not g:
+                return 1 / language.CLASSES
+            counts = levels[len(g)]
+            ones, twos = (sum(1 for c in counts.values() if c == k) for k in (1, 2))
+            d = ones / (ones + 2 * twos) if ones and twos else 0.75
+            after = [c for x, c in counts.items() if x[:-1] == g[:-1]]
+            if not after:
+                return p(g[1:])
+            return max(counts.get(g, 0) - d, 0) / sum(after) + d * len(after) / sum(after) * p(g[1:])
+
+        return p
+
+    models = {}
+    for name, corpus in texts.items():
+        grams, _, _ = encoder.grams(Block(pa.array(corpus)))
+        models[name] = language.KneserNey(*np.unique(grams.astype(np.int64), return_counts=True))
+    bits, sizes, _ = language.Model(models).scorer()(Block(pa.array(["the casa", "zzz"])))
+    for row, text in zip(bits, ["the casa", "zzz"], strict=True):
+        own = line(text)
+        for k, name in enumerate(sorted(texts)):
+            p = plain(texts[name])
+            assert row[k] == pytest.approx(-sum(np.log2(p(tuple(own[i - 3 : i + 1]))) for i in range(3, len(own))), rel=1e-4)
+
+
 def test_language_on_held_out(spark, sf_dir):
     rows = queries.op7_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r["held_out"]]
@@ -521,6 +762,19 @@ def test_shards_of_a_hundred_terabytes(spark):
     assert [r[0] for r in rows.select(shard.shard_of(total, 24)).collect()] == [0, 12, 23]
 
 
+def test_shards_keep_columns(spark, awkward):
+    rows = shard.assign_shards(awkward, 3, keep=["doc_id", "size", "rank", "__x", "text"]).collect()
+    assert len(rows) == 9 and rows[0].asDict().keys() == {"doc_id", "rank", "__x", "text", "size", "text_crc32", "shard", "slot"}
+    assert all(r["rank"] == "mine" and r["size"] == len((r["text"] or "").encode()) + 8 for r in rows)
+    assert len(shard.assign_shards(awkward, 3, keep=[]).columns) == 4
+
+
+def test_many_rows_alike_are_shards_apart(spark, docs_of):
+    docs = docs_of([(None, "the same")] * 90 + [(5, "x")])
+    rows = shard.assign_shards(docs, 9, parts=4).groupBy("shard").count().collect()
+    assert len(rows) == 9 and max(r["count"] for r in rows) <= 12
+
+
 def test_shards_awkward(spark, awkward):
     rows = shard.assign_shards(awkward, 3).collect()
     assert len(rows) == 9
@@ -556,6 +810,35 @@ def test_hits_against_brute_force(spark, documents, sf_dir):
     assert any(v[4] for v in want.values())
 
 
+def test_blocks_leave_the_executors(spark, documents, sf_dir, monkeypatch):
+    """With more windows than the bound, each block is taken back before the next is sent."""
+    live, most = set(), []
+    context = spark.sparkContext
+    send = type(context).broadcast
+
+    def broadcast(self, value):
+        sent = send(self, value)
+        if isinstance(value, decontaminate.WindowSet):
+            live.add(id(sent))
+            most.append((len(live), sum(map(len, value.hashes.values()))))
+            gone = sent.destroy
+            sent.destroy = lambda *a: (live.discard(id(sent)), gone(*a))
+        return sent
+
+    monkeypatch.setattr(type(context), "broadcast", broadcast)
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    decontaminate.find_contamination(documents, bench, max_broadcast_windows=300).count()
+    assert len(most) > 2 and {n for n, _ in most} == {1} and not live and max(w for _, w in most) <= 300
+
+
+def test_passes_keep_awkward_rows(spark, docs_of, awkward):
+    bench = spark.createDataFrame([(k, f"item {k} the quick brown fox jumps over the lazy dog") for k in range(30)] + [(99, "quick brown fox jumps")], "item_id long, text string")
+    once, passes = (sorted(map(str, decontaminate.find_contamination(awkward, bench, max_broadcast_windows=m).collect())) for m in (10**6, 12))
+    assert once == passes and len(once) == 9
+    cut, again = (sorted(map(str, decontaminate.remove_contamination(awkward, bench, mode="spans", max_broadcast_windows=m).collect())) for m in (10**6, 12))
+    assert cut == again and any("quick brown" not in x and "lazy" in x for x in cut)
+
+
 def test_hits_of_short_items_and_ties(spark, docs_of):
     docs = docs_of([(1, "A b C d e f g h i j k l m"), (2, "x A-B y"), (3, "b a"), (4, None), (5, "")])
     bench = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "a B"), (2, "zzz"), (3, ""), (4, None), (None, "x"), (5, "c d e f g h i j k l m n o")], "item_id long, text string")
@@ -621,6 +904,28 @@ def test_mix_against_brute_force(spark, documents):
     assert sorted(map(str, again.collect())) == sorted(map(str, mix.mix(documents)[0].collect()))
 
 
+def test_mixed_rows_keep_their_columns(spark, docs_of):
+    docs = docs_of([(1, "same text"), (1, "same text"), (None, "x"), (None, "y")]).withColumn("url", F.monotonically_increasing_id().cast("string")).withColumn("__id", F.lit("mine")).withColumn("__k0", F.lit(7)).withColumn("tags", F.create_map(F.lit("a"), F.col("url")))
+    want = sorted(map(str, docs.collect()))
+    assert sorted(map(str, mix.mixed(docs).collect())) == want
+    same = docs_of([(1, "same"), (1, "same"), (1, "same")])
+    assert mix.mixed(same).count() == mix.mix(same)[0].count() == 3
+
+
+def test_plan_limits(spark, docs_of):
+    with pytest.raises(ValueError, match="repeats"):
+        mix.plan([("a", 100), ("b", 50)], max_epochs=2.0, budget=1500)
+    held = mix.plan([("a", 1000), ("b", 10)], 1.0, 2.0, budget=1500)
+    assert all(q <= 2 * t for _, t, _, q in held.sources)
+    assert mix.plan([("a", 0), ("b", 10)]).sources == [("b", 10, 1_000_000, 10), ("a", 0, 0, 0)]
+    docs = docs_of([(1, "t", "en", "a"), (2, "t", "en", "a"), (3, "u", "en", "b")])
+    counts = F.when(F.col("source") == "b", F.lit(5))
+    uses, _ = mix.mix(docs, tokens=counts)
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in uses.collect()) == [(1, 0), (2, 0), (3, 5)]
+    assert [r["doc_id"] for r in mix.mix(docs, tokens=counts, budget=5)[0].collect()] == [3]
+    assert mix.mixed(docs, tokens=counts).count() == 3
+
+
 def test_mixed_rows(spark, docs_of, awkward):
     docs = docs_of([(i, "text " * 50, "en", "big" if i < 60 else "small") for i in range(70)] + [(70, None, "en", None)])
     uses, plan = mix.mix(docs)

@@ -1,6 +1,7 @@
 """Registered queries against their SQL, and the pipeline against brute force, stage by stage."""
 
 import pytest
+from pyspark.sql import functions as F
 from compare import same_rows
 from test_operators import brute_classes, brute_hits, brute_shards
 
@@ -46,6 +47,68 @@ def test_pipeline(spark, sf_dir):
         docs = out
 
 
+AWKWARD_TEXTS = [None, "", "...", "one two", " " * 1_000_000, "\n" * 300_000, "a" * 400_000, "é " * 100_000, "The quick brown fox jumps over the lazy dog and runs. " * 4000, "été à la plage ñandú größe 日本語 😀"]
+CLASHES = ("score", "predicted", "held_out", "rejected", "node", "label", "size", "n", "offset", "rank", "shard", "bucket", "hash", "spans", "text_crc32", "key", "epoch", "__id", "__hash", "__text", "__n_hit", "__rejected", "__k0", "___id")
+
+
+@pytest.fixture(scope="module")
+def awkward_dir(spark, tmp_path_factory):
+    """Tables with nulls in every column, very long texts, repeated rows, null ids and names that clash."""
+    top = str(tmp_path_factory.mktemp("awkward"))
+    rows = [(i, t, "en" if i % 3 else None, "s" if i % 4 else None, len(t or "")) for i, t in enumerate(AWKWARD_TEXTS)]
+    rows += [rows[8], (None, "nobody knows this id at all, so it says", None, None, None), (None, "nobody knows this id at all, so it says", None, None, None), (77, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.withColumns({c: F.lit("mine") for c in CLASHES}).write.parquet(f"{top}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, None, 1), (None, 1, 1), (8, 0, 1), (8, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
+    spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog and runs"), (1, None), (None, "one two"), (2, ""), (3, "one two")], "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
+    return top
+
+
+@pytest.fixture(scope="module")
+def empty_dir(spark, awkward_dir, tmp_path_factory):
+    top = str(tmp_path_factory.mktemp("empty"))
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{awkward_dir}/{t}.parquet").limit(0).write.parquet(f"{top}/{t}.parquet")
+    return top
+
+
+@pytest.fixture(scope="module")
+def unlabelled_dir(spark, awkward_dir, tmp_path_factory):
+    """No language and no label to learn from."""
+    top = str(tmp_path_factory.mktemp("unlabelled"))
+    spark.read.parquet(f"{awkward_dir}/documents.parquet").withColumn("lang", F.lit(None).cast("string")).write.parquet(f"{top}/documents.parquet")
+    spark.read.parquet(f"{awkward_dir}/labels.parquet").limit(0).write.parquet(f"{top}/labels.parquet")
+    spark.read.parquet(f"{awkward_dir}/benchmark.parquet").write.parquet(f"{top}/benchmark.parquet")
+    return top
+
+
+@pytest.mark.parametrize("key", sorted(queries.QUERIES))
+def test_queries_on_awkward_tables(spark, awkward_dir, empty_dir, unlabelled_dir, key):
+    n = len(AWKWARD_TEXTS) + 4
+    for top in (awkward_dir, unlabelled_dir):
+        rows = queries.QUERIES[key](spark, top).collect()
+        assert len(rows) >= n if key.startswith(("op5", "op10")) else len(rows) == n
+        assert {r["doc_id"] for r in rows} == {*range(len(AWKWARD_TEXTS)), 77, None}
+    if key.startswith("op7"):
+        assert {r["lang_pred"] for r in rows} == {"und"}
+    assert queries.QUERIES[key](spark, empty_dir).count() == 0
+
+
+def test_stages_on_awkward_tables(spark, awkward_dir, empty_dir, unlabelled_dir):
+    for top, some in ((awkward_dir, True), (empty_dir, False), (unlabelled_dir, False)):
+        docs = spark.read.parquet(f"{top}/documents.parquet")
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = materialize(stage(spark, docs, top), name)
+            assert name == "sharding" or docs.columns == columns
+            assert (docs.count() > 0) == some, (top, name)
+            if name != "sharding":
+                assert docs.where("key <> 'mine' OR __id <> 'mine' OR size <> 'mine'").count() == 0
+        if some:  # without letters, copies, an item's window: gone; null ids stay but for one text
+            ids = [r["doc_id"] for r in docs.collect()]
+            assert 8 not in ids and 4 not in ids and 9 in ids
+
+
 def test_run_is_the_stages(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r["shard"] for r in rows} <= set(range(24)) and len(rows) > 100
