@@ -201,7 +201,7 @@ def _in_passes(documents: DataFrame, blocks, text: str, keep: list[str] | None,
                     words, hit, items = _search(Block(part.column(1)), sent.value)
                     own = [i for i in range(part.num_rows) if items[i]]
                     runs = [_runs(hit[words.first[i] : words.first[i + 1]]) for i in own]
-                    rows = (part.column(0).take(pa.array(own, pa.int64())), *(pa.array([r[k].tolist() for r in runs], pa.list_(pa.int64())) for k in (0, 1)), pa.array([sorted(map(str, items[i])) for i in own], pa.list_(pa.string())))
+                    rows = [part.column(0).take(pa.array(own, pa.int64())), *(pa.array([r[k].tolist() for r in runs], pa.list_(pa.int64())) for k in (0, 1)), pa.array([sorted(map(str, items[i])) for i in own], pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays(rows, names=_HITS.names)
 
         found.append(materialize(map_arrow(numbered.select(row, text), run, _HITS), "hits"))

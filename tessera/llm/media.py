@@ -189,7 +189,8 @@ def npy_tile(image: np.ndarray, size: int = TILE) -> bytes:
     """The image resized to ``size`` x ``size`` 8-bit samples, as NPY bytes."""
     scale = 257.0 if image.dtype == np.uint16 else 1.0
     to = io.BytesIO()
-    np.save(to, np.clip(np.floor(np.round(area_resize(image, size, size) / scale, 6) + 0.5), 0, 255).astype(np.uint8), allow_pickle=False)
+    cells = np.clip(np.floor(np.round(area_resize(image, size, size) / scale, 6) + 0.5), 0, 255)
+    np.save(to, np.ascontiguousarray(cells, np.uint8), allow_pickle=False)
     return to.getvalue()
 
 

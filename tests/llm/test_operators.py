@@ -150,8 +150,8 @@ def test_network_forward_step_by_step():
     u, w = toxicity.UNITS, toxicity.WINDOW
 
     def vector(word):
-        h = Words(Block(pa.array([word]))).hashes()[0]
-        raw = [1, *word.encode(), 2]
+        h = Words(Block(pa.array([word.decode()]))).hashes()[0]
+        raw = [1, *word, 2]
         rows = [int(toxicity.mix64(np.array([(raw[k - 1] << 16) | (raw[k] << 8) | raw[k + 1]], np.uint64))[0] % np.uint64(toxicity.TRIGRAM_ROWS)) for k in range(1, len(raw) - 1)]
         return p["word"][int(h % np.uint64(toxicity.WORD_ROWS))] + p["tri"][rows].mean(axis=0)
 
@@ -542,9 +542,11 @@ def test_text_media_round_trip(spark, documents, awkward):
         want = []
         for i, t in texts:
             raw = (t or "").encode()
-            padded = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
-            want.append((str(i), len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:])))
-        assert sorted((str(r["doc_id"]), r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in rows) == sorted(want)
+            want.append((str(i), len(raw), raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))))
+        assert sorted((str(r["doc_id"]), r["n_bytes"], bytes(r["payload"])) for r in rows) == sorted(want)
+        assert all(media.decode(bytes(r["media"])).tobytes() == bytes(r["payload"]) for r in rows)
+        assert all(np.load(io.BytesIO(r["tile"])).shape == (32, 32) for r in rows)
+    assert media.text_media(awkward.limit(0)).count() == 0 and media.media_tiles(awkward.limit(0), "text").count() == 0
 
 
 def test_maxval_and_masks():

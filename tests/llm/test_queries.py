@@ -48,6 +48,7 @@ def test_pipeline(spark, sf_dir):
 
 
 AWKWARD_TEXTS = [None, "", "...", "one two", " " * 1_000_000, "\n" * 300_000, "a" * 400_000, "é " * 100_000, "The quick brown fox jumps over the lazy dog and runs. " * 4000, "été à la plage ñandú größe 日本語 😀"]
+PLAIN_TEXTS = [f"In year {k} the quiet river {a} past the old mill and the {b} people of the village walked home by its bank in the evening" for k, (a, b) in enumerate((a, b) for a in ("ran", "flowed", "went", "rolled", "moved") for b in ("young", "tired", "happy", "poor"))]
 CLASHES = ("score", "predicted", "held_out", "rejected", "node", "label", "size", "n", "offset", "rank", "shard", "bucket", "hash", "spans", "text_crc32", "key", "epoch", "__id", "__hash", "__text", "__n_hit", "__rejected", "__k0", "___id")
 
 
@@ -57,6 +58,7 @@ def awkward_dir(spark, tmp_path_factory):
     top = str(tmp_path_factory.mktemp("awkward"))
     rows = [(i, t, "en" if i % 3 else None, "s" if i % 4 else None, len(t or "")) for i, t in enumerate(AWKWARD_TEXTS)]
     rows += [rows[8], (None, "nobody knows this id at all, so it says", None, None, None), (None, "nobody knows this id at all, so it says", None, None, None), (77, None, None, None, None)]
+    rows += [(100 + k, t, "en", "s", len(t)) for k, t in enumerate(PLAIN_TEXTS)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.withColumns({c: F.lit("mine") for c in CLASHES}).write.parquet(f"{top}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (3, None, 1), (None, 1, 1), (8, 0, 1), (8, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
@@ -84,11 +86,11 @@ def unlabelled_dir(spark, awkward_dir, tmp_path_factory):
 
 @pytest.mark.parametrize("key", sorted(queries.QUERIES))
 def test_queries_on_awkward_tables(spark, awkward_dir, empty_dir, unlabelled_dir, key):
-    n = len(AWKWARD_TEXTS) + 4
+    n = len(AWKWARD_TEXTS) + 4 + len(PLAIN_TEXTS)
     for top in (awkward_dir, unlabelled_dir):
         rows = queries.QUERIES[key](spark, top).collect()
         assert len(rows) >= n if key.startswith(("op5", "op10")) else len(rows) == n
-        assert {r["doc_id"] for r in rows} == {*range(len(AWKWARD_TEXTS)), 77, None}
+        assert {r["doc_id"] for r in rows} == {*range(len(AWKWARD_TEXTS)), 77, None, *range(100, 100 + len(PLAIN_TEXTS))}
     if key.startswith("op7"):
         assert {r["lang_pred"] for r in rows} == {"und"}
     assert queries.QUERIES[key](spark, empty_dir).count() == 0
@@ -104,9 +106,9 @@ def test_stages_on_awkward_tables(spark, awkward_dir, empty_dir, unlabelled_dir)
             assert (docs.count() > 0) == some, (top, name)
             if name != "sharding":
                 assert docs.where("key <> 'mine' OR __id <> 'mine' OR size <> 'mine'").count() == 0
-        if some:  # without letters, copies, an item's window: gone; null ids stay but for one text
-            ids = [r["doc_id"] for r in docs.collect()]
-            assert 8 not in ids and 4 not in ids and 9 in ids
+        if some:  # gone: without letters, or with an item's window; kept: all of the plain ones
+            ids = {r["doc_id"] for r in docs.collect()}
+            assert not ids & {0, 1, 2, 3, 4, 5, 8} and ids >= set(range(100, 100 + len(PLAIN_TEXTS)))
 
 
 def test_run_is_the_stages(spark, sf_dir):
