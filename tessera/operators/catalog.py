@@ -60,7 +60,7 @@ def get_object(versions: DataFrame, buckets: DataFrame) -> DataFrame:
     Without versioning the newest normal row; else the newest row that is not both
     deleted and loose, which may be a delete marker.
     """
-    seen = versions.join(F.broadcast(buckets.select(F.col("id").alias("bucket_id"), "versioning")), "bucket_id") if buckets is not None else versions
+    seen = versions.join(buckets.select(F.col("id").alias("bucket_id"), "versioning"), "bucket_id") if buckets is not None else versions
     visible = F.when(F.col("versioning") == "Disabled", F.col("status") == NORMAL).otherwise(~((F.col("status") == DELETED) & ~F.col("sticky")))
     return latest(seen.where(visible).select(*versions.columns), ["bucket_id", "name"])
 

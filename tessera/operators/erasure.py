@@ -129,6 +129,22 @@ def xor_parity(words: DataFrame) -> DataFrame:
     return words.groupBy("stripe_id", "word").agg(F.bit_xor("value").alias("parity"))
 
 
+def repair(shards: DataFrame, lost: list[int], data: int, parity: int, chunk: int) -> DataFrame:
+    """EC-6: the lost shards of every stripe anew, from those that are left; stripes with too few give none."""
+    whole = recover(shards, data, parity).where("data IS NOT NULL").select("id", "stripe_id", "data")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = generator(data, parity)
+        for pdf in batches:
+            rows = []
+            for i, s, raw in pdf.itertuples(index=False):
+                body = combine(g[lost], np.frombuffer(raw, np.uint8).reshape(data, chunk))
+                rows += [(i, s, k, body[n].tobytes()) for n, k in enumerate(lost)]
+            yield pd.DataFrame(rows, columns=SHARDS.names)
+
+    return whole.mapInPandas(run, SHARDS)
+
+
 def repair_counts(counts: DataFrame) -> DataFrame:
     """EC-6: a rebuilt storage takes each stripe's largest reference count among the survivors."""
     return counts.groupBy("stripe_id").agg(F.max("refs").alias("refs"))

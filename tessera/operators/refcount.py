@@ -47,8 +47,12 @@ def runs(stripes: DataFrame, by: list[str] | None = None) -> DataFrame:
     return ranked.groupBy(*by, (F.col("stripe_id") - F.col("__rank")).alias("__island")).agg(F.min("stripe_id").alias("first_stripe"), F.count(F.lit(1)).alias("n")).drop("__island")
 
 
-def freed_bytes(freed_runs: DataFrame, offsets: DataFrame, stripe: int = STRIPE) -> DataFrame:
-    """RC-5, 8: the bytes that each storage's runs free, none beyond its write offset."""
+def freed_bytes(freed_runs: DataFrame, offsets: DataFrame, stripe: int = STRIPE, data: int | None = None) -> DataFrame:
+    """RC-5, 8: the bytes that each storage's runs free, none beyond its write offset.
+
+    Of an erasure-coded group only its ``data`` first storages count: parity frees nothing of an object's.
+    """
+    freed_runs = freed_runs if data is None else freed_runs.where(F.col("storage_id") < data)
     size = F.greatest(F.lit(0), F.least((F.col("first_stripe") + F.col("n")) * stripe, F.col("write_offset")) - F.col("first_stripe") * stripe)
     return freed_runs.join(F.broadcast(offsets), "storage_id").groupBy("storage_id").agg(F.sum(size).alias("freed"))
 

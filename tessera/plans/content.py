@@ -350,6 +350,13 @@ def _(spark, d):
     return R.freed_bytes(R.runs(R.unlink(*_counts(spark, d))[1]), offsets)
 
 
+@query("rc08_ec_freed", V.with_(V.V_FRAGMENTS, _FAN, _COUNTS, _LEFT, _RUNS) + ", w AS (SELECT storage_id, max(ptr + size) - 1000 AS o FROM v_fragments GROUP BY ALL) SELECT storage_id, sum(greatest(0, least((first_stripe + n) * 8192, o) - first_stripe * 8192))::BIGINT AS freed FROM runs JOIN w USING (storage_id) WHERE storage_id < 2 GROUP BY ALL")
+def _(spark, d):
+    """Two storages hold data and the third parity, which does not count."""
+    offsets = V.fragments(spark, d).groupBy("storage_id").agg((F.max(F.expr("ptr + size")) - 1000).alias("write_offset"))
+    return R.freed_bytes(R.runs(R.unlink(*_counts(spark, d))[1]), offsets, data=2)
+
+
 _REFUSED = "ref AS (SELECT storage_id, stripe_id FROM odd WHERE (storage_id, stripe_id) NOT IN (SELECT storage_id, stripe_id FROM cnt))"
 
 

@@ -90,6 +90,18 @@ def _(spark, d):
     return E.validate_config(c).select("p_partkey", "valid")
 
 
+@query(
+    "ec06_repair",
+    V.with_(V.V_OBJECTS)
+    + f"""SELECT id, i AS stripe_id, md5(encode(text)[i * {_DATA * _CHUNK} + {_CHUNK} + 1 : i * {_DATA * _CHUNK} + 2 * {_CHUNK}] || unhex(repeat('00', ({_CHUNK} - greatest(0, least({_CHUNK}, size - i * {_DATA * _CHUNK} - {_CHUNK})))::INTEGER))) AS digest
+    FROM (SELECT *, unnest(range(0, (size + {_DATA * _CHUNK - 1}) // {_DATA * _CHUNK})) AS i FROM v_objects)""",
+)
+def _(spark, d):
+    """Storages 1 and 4 are lost; a new storage 1 gets its shards from the other four."""
+    left = _shards(spark, d).where("shard_id not in (1, 4)")
+    return E.repair(left, [1, 4], _DATA, _PARITY, _CHUNK).where("shard_id = 1").select("id", "stripe_id", F.md5("payload").alias("digest"))
+
+
 @query("ec11_used", V.with_(V.V_OBJECTS) + f"SELECT id, (size + {_DATA * _CHUNK - 1}) // {_DATA * _CHUNK} * {_DATA * _CHUNK} AS used FROM v_objects WHERE size > 0")
 def _(spark, d):
     return E.used_space(_shards(spark, d), _DATA)

@@ -110,6 +110,15 @@ def _(spark, d):
     return W.snapshot(e, "u1", e.agg(F.expr("max(revision) * 4 div 5")).first()[0])
 
 
+@query("src11_policies", "SELECT '{\"Version\":\"2012-10-17\",\"Id\":\"' || n_name || '\"}' AS policy, n_name AS id FROM nation")
+def _(spark, d):
+    """A policy file for each nation, written and loaded whole."""
+    path = new_path(spark, "policies")
+    doc = F.concat(F.lit('{"Version":"2012-10-17","Id":"'), F.col("n_name"), F.lit('"}'))
+    V.table(spark, d, "nation").repartition(25, "n_nationkey").select(doc.alias("value"), F.col("n_nationkey").alias("file")).write.partitionBy("file").text(path)
+    return W.read_policies(spark, f"{path}/*").select(F.rtrim(F.col("policy"), F.lit("\n")).alias("policy")).select("policy", F.get_json_object("policy", "$.Id").alias("id"))
+
+
 @query("st_ct19_data_size", V.with_(V.V_VERSIONS) + "SELECT coalesce(sum(size), 0)::BIGINT AS size FROM v_versions WHERE status = 'Normal'")
 def _(spark, d):
     return J.drain(J.stream_data_size(J.as_stream(V.versions(spark, d).select("status", "size"))))
