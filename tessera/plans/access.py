@@ -140,7 +140,7 @@ def _(spark, d):
     return r.select("id", P.decide_by_bucket(r, own, common, c).alias("decision"))
 
 
-_XML = """<CORSConfiguration><CORSRule><AllowedOrigin>http://www.example.com</AllowedOrigin><AllowedMethod>PUT</AllowedMethod><AllowedMethod>POST</AllowedMethod><AllowedMethod>DELETE</AllowedMethod><AllowedHeader>x-*</AllowedHeader><AllowedHeader>content-type</AllowedHeader></CORSRule><CORSRule><AllowedOrigin>*</AllowedOrigin><AllowedMethod>GET</AllowedMethod></CORSRule></CORSConfiguration>"""
+_XML = """<CORSConfiguration><CORSRule><AllowedOrigin>https://app.example.net</AllowedOrigin><AllowedMethod>DELETE</AllowedMethod><AllowedMethod>PUT</AllowedMethod><AllowedHeader>x-*</AllowedHeader><AllowedHeader>content-type</AllowedHeader></CORSRule><CORSRule><AllowedOrigin>*</AllowedOrigin><AllowedMethod>GET</AllowedMethod></CORSRule></CORSConfiguration>"""
 
 
 def _rules(spark, d):
@@ -148,13 +148,13 @@ def _rules(spark, d):
     return X.parse_rules(buckets)
 
 
-@query("co01_rules", "SELECT 'b' || n_nationkey AS bucket, rule, origin, methods, headers FROM nation, (VALUES (0::BIGINT, 'http://www.example.com', 'PUT,POST,DELETE', 'x-*,content-type'), (1000, '*', 'GET', '')) r(rule, origin, methods, headers) WHERE n_nationkey < 3")
+@query("co01_rules", "SELECT 'b' || n_nationkey AS bucket, rule, origin, methods, headers FROM nation, (VALUES (0::BIGINT, 'https://app.example.net', 'DELETE,PUT', 'x-*,content-type'), (1000, '*', 'GET', '')) r(rule, origin, methods, headers) WHERE n_nationkey < 3")
 def _(spark, d):
     return _rules(spark, d).select("bucket", "rule", "origin", F.array_join("methods", ",").alias("methods"), F.array_join("headers", ",").alias("headers"))
 
 
 def _asked(spark, d):
-    return V.requests(spark, d).selectExpr("id", "bucket", "if(id % 2 = 0, 'http://www.example.com', 'http://other.org') as origin", "case when action like '%Put%' then 'PUT' when action like '%Delete%' then 'DELETE' else 'GET' end as method", "split('x-a,content-type,y-b', ',') as asked")
+    return V.requests(spark, d).selectExpr("id", "bucket", "if(id % 2 = 0, 'https://app.example.net', 'https://other.example.org') as origin", "case when action like '%Put%' then 'PUT' when action like '%Delete%' then 'DELETE' else 'GET' end as method", "split('x-a,content-type,y-b', ',') as asked")
 
 
 _FIRST = """q AS (SELECT id, bucket, id % 2 = 0 AS own, CASE WHEN action LIKE '%Put%' THEN 'PUT' WHEN action LIKE '%Delete%' THEN 'DELETE' ELSE 'GET' END AS method FROM v_requests),
