@@ -31,18 +31,16 @@ def test_settings_stay(spark):
     assert spark.conf.get(shared._CLEANUP, None) == before
 
 
-def test_no_local_folder_on_a_cluster(spark, monkeypatch):
-    class Context:
-        master = "spark://host:7077"
-        _jsc = spark.sparkContext._jsc
+def test_no_local_folder_on_a_cluster():
+    class Nothing:
+        def __getattr__(self, name):
+            return lambda *a: False if name == "isDefined" else None if name == "get" else self
 
     class Session:
-        sparkContext = Context()
+        class sparkContext:
+            master, _jsc = "spark://host:7077", Nothing()
 
-        class conf:
-            @staticmethod
-            def get(key, default=None):
-                return default
+        conf = Nothing()
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         shared.shared_dir(Session())
