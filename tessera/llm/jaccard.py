@@ -393,9 +393,15 @@ def _classes(documents: DataFrame, id: str, text: str, threshold: Fraction, tole
     joined = nodes.select("node", "first_id", "copies").join(links, "node").join(labels, "node")
     first = joined.groupBy("label").agg(F.min("first_id").alias("class_first"))
     linked = joined.join(first, "label").select("node", "links", "class_first", "label")
-    known = nodes.select("node", "first_id", "copies").join(linked, "node", "left").select("node", F.coalesce("class_first", "first_id").alias("class_first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("label", "node").alias("label"))
+    known = nodes.select("node", "first_id", "copies").join(linked, "node", "left").select("node", "copies", F.coalesce("class_first", "first_id").alias("class_first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("label", "node").alias("label"))
+    known = materialize(known, "known")
     own = rows.select("id", "text_hash", F.when(F.col("id").isNotNull(), F.col("node")).alias("node"))
-    return own.join(known, "node", "left").select(F.col("id").alias(id), F.coalesce("class_first", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "text_hash", F.col("label").alias("__label"))
+    # A node with more than a quarter of a partition's rows is hot; there are at most four for each partition, so these
+    # are broadcast, and their rows meet them where they are.  All other rows are dealt by node.
+    share = rows.count() // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+    hot = F.broadcast(known.where(F.col("copies") > share))
+    cold = own.join(hot.select("node"), "node", "left_anti").join(known.where(F.col("copies") <= share), "node", "left")
+    return own.join(hot, "node").unionByName(cold).select(F.col("id").alias(id), F.coalesce("class_first", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "text_hash", F.col("label").alias("__label"))
 
 
 def keep_first(documents: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -257,6 +257,13 @@ def test_jaccard_awkward(spark, awkward):
     assert jaccard.jaccard_classes(awkward.limit(0)).count() == 0
 
 
+def test_hot_sets_are_not_dealt_by_node(spark, docs_of):
+    """Most rows are copies of one text: they keep their links and classes, and null ids theirs."""
+    docs = docs_of([(i, "the same words in each of these many rows") for i in range(500)] + [(None, "the same words in each of these many rows")] * 3 + [(1000 + i, f"text {i} of its own with words of number {i} only") for i in range(40)])
+    got = jaccard.jaccard_classes(docs).groupBy("class_id", "n_links").count().collect()
+    assert sorted((str(r["class_id"]), r["n_links"], r["count"]) for r in got) == sorted([("0", 499, 500), ("None", 0, 3), *((str(1000 + i), 0, 1) for i in range(40))])
+
+
 def test_classes_of_other_ids(spark, docs_of):
     text = "one two three four five six seven eight nine ten eleven twelve"
     docs = docs_of([(2, text), (1, text + " thirteen"), (3, "quite another text than the others of this table")]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
