@@ -87,7 +87,7 @@ def unlabelled_dir(spark, awkward_dir, tmp_path_factory):
 @pytest.mark.parametrize("key", sorted(queries.QUERIES))
 def test_queries_on_awkward_tables(spark, awkward_dir, empty_dir, unlabelled_dir, key):
     n = len(AWKWARD_TEXTS) + 4 + len(PLAIN_TEXTS)
-    for top in (awkward_dir, unlabelled_dir):
+    for top in (awkward_dir, unlabelled_dir) if key.startswith(("op1_", "op2_", "op7_")) else (awkward_dir,):
         rows = queries.QUERIES[key](spark, top).collect()
         assert len(rows) >= n if key.startswith(("op5", "op10")) else len(rows) == n
         assert {r["doc_id"] for r in rows} == {*range(len(AWKWARD_TEXTS)), 77, None, *range(100, 100 + len(PLAIN_TEXTS))}
