@@ -103,8 +103,8 @@ l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other)
 SELECT r.doc_id, min(other) AS class_id, (SELECT count(*) FROM l WHERE l.a = r.doc_id)::BIGINT AS n_links FROM r GROUP BY r.doc_id""",
     "op4_suffix_dedup": """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
-g AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 100)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)),
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+g AS (SELECT doc_id, p, raw[p + 1 : p + 50] AS k FROM (SELECT doc_id, raw, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)),
 f AS (SELECT k, min(doc_id) AS first FROM g GROUP BY k HAVING count(*) > 1),
 c AS (SELECT g.doc_id, p, lag(p) OVER w AS before, lead(p) OVER w AS after FROM g JOIN f ON f.k = g.k AND f.first < g.doc_id WINDOW w AS (PARTITION BY g.doc_id ORDER BY p)),
 b AS (SELECT doc_id, p FROM c WHERE before IS NULL OR p - before > 50),
