@@ -287,3 +287,9 @@ def test_listing_pushes_its_prefix(spark, sf_dir):
 
     plan = views.table(spark, sf_dir, "part").where(policy.glob(F.col("p_name"), "blue*"))._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(p_name,blue)" in plan
+
+
+def test_scrypt(spark):
+    # Fixed value: the first 32 bytes of RFC 7914's example for N 16384, r 8, p 1.
+    want = "7023bdcb3afd7348461c06cd81fd38ebfda8fbba904f8e3ea9b543f6545da1f2"
+    assert one(spark, S.scrypt_hash(F.lit("pleaseletmein"), F.lit(b"SodiumChloride".hex()))) == (want,)
