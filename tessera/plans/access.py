@@ -58,10 +58,17 @@ _register("pl07_not_like", _ALL | {"Condition": {"StringNotLike": {"s3:prefix":
 _register("pl08_numeric", _ALL | {"Condition": {"NumericGreaterThanEquals": {"s3:max-keys": "5"}, "NumericLessThan": {"s3:max-keys": "20"}}}, "number >= 5 AND number < 20")
 _register("pl08_numeric_equals", _ALL | {"Condition": {"NumericNotEquals": {"s3:max-keys": "5"}}}, "number <> 5")
 _register("pl09_date", _ALL | {"Condition": {"DateGreaterThan": {"aws:CurrentTime": "2024-01-10T00:00:00Z"}, "DateLessThanEquals": {"aws:CurrentTime": "2024-01-20T12:00:00Z"}}}, '"at" > 1704844800 AND "at" <= 1705752000')
-_register("pl11_unknown", _ALL | {"Condition": {"StringSounds": {"aws:username": "u1"}}}, "FALSE")
 _register("pl14_variables", _ALL | {"Resource": "arn:aws:s3:::b?/${aws:username}/*"}, "resource LIKE 'arn:aws:s3:::b_/%' AND split_part(key, '/', 1) = username")
 
 
+@query("pl11_unknown", V.with_(V.V_REQUESTS) + "SELECT id, FALSE AS unknown, username = 'u1' AS known FROM v_requests")
+def _(spark, d):
+    """An operator that there is not matches no request; the same condition with one that there is matches some."""
+    r, c = _requests(spark, d)
+    unknown, known = (P.parse(_document(_ALL | {"Condition": {how: {"aws:username": "u1"}}}))[0] for how in ("StringSounds", "StringEquals"))
+    return r.select("id", P.matches(unknown, c).alias("unknown"), P.matches(known, c).alias("known"))
+
+
 @query("pl07_like_quirk", V.with_(V.V_REQUESTS) + "SELECT id FROM v_requests WHERE key = 'u8/69'")
 def _(spark, d):
     """With value and pattern changed places, a value without wildcards is compared as it is."""

@@ -349,11 +349,13 @@ def _(spark, d):
     return L.mark_latest(V.versions(spark, d).where("status = 'Normal' or sticky")).select("id", "name", "is_latest")
 
 
-@query("ls07_no_keys", "SELECT 0::BIGINT AS n WHERE FALSE")
+@query("ls07_no_keys", V.with_(V.V_VERSIONS) + "SELECT bucket_id, count(DISTINCT name) AS names, 0::BIGINT AS listed, FALSE AS truncated FROM v_versions GROUP BY bucket_id")
 def _(spark, d):
-    """A page of no keys is empty and not truncated."""
+    """A page of no keys is empty and not truncated, however many names a bucket has."""
     names = V.versions(spark, d).select("bucket_id", "name").distinct()
-    return L.page(L.collapse(names, keys=["bucket_id"]), 0, ["bucket_id"]).select("n")
+    page = L.page(L.collapse(names, keys=["bucket_id"]), 0, ["bucket_id"]).groupBy("bucket_id").agg(F.count(F.lit(1)).alias("listed"), F.bool_or("truncated").alias("truncated"))
+    both = names.groupBy("bucket_id").agg(F.count(F.lit(1)).alias("names")).join(page, "bucket_id", "left")
+    return both.select("bucket_id", "names", F.coalesce("listed", F.lit(0).cast("long")).alias("listed"), F.coalesce("truncated", F.lit(False)).alias("truncated"))
 
 
 @query("mp01_etag", V.with_(V.V_PARTS) + "SELECT upload_id, md5(unhex(string_agg(etag, '' ORDER BY part_id))) || '-' || count(*) AS etag, sum(size)::BIGINT AS size FROM v_parts GROUP BY upload_id")

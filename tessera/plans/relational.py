@@ -56,9 +56,10 @@ def _(spark, d):
     return k.join(u, k["username"] == u["name"]).select("access_key", "arn")
 
 
-@query("rel09_left_is_null", "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL")
+@query("rel09_left_is_null", "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F' WHERE o_orderkey IS NULL")
 def _(spark, d):
-    c, o = _t(spark, d, "customer"), _t(spark, d, "orders")
+    """Customers without a finished order."""
+    c, o = _t(spark, d, "customer"), _t(spark, d, "orders").where("o_orderstatus = 'F'")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
 
