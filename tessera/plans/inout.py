@@ -25,14 +25,16 @@ def _(spark, d):
 
 @query("src02_chunked", V.with_(V.V_OBJECTS) + "SELECT id, CASE WHEN id % 10 <> 3 THEN etag END AS digest FROM v_objects WHERE size > 0")
 def _(spark, d):
-    """Bodies sent in two chunks, with an extension and a trailer, come back whole; cut ones are refused."""
-    half = "substring(raw, 1, int(size div 2))"
-    rest = "substring(raw, int(size div 2) + 1, int(size))"
-    o = V.objects(spark, d).where("size > 1").withColumn("raw", F.expr("cast(text as binary)"))
+    """Bodies sent in two chunks (a single byte in one), with an extension and a trailer, come back whole; cut ones are refused."""
+    # An empty chunk would be the last one.
+    half = "substring(raw, 1, int((size + 1) div 2))"
+    rest = "substring(raw, int((size + 1) div 2) + 1, int(size))"
+    o = V.objects(spark, d).where("size > 0").withColumn("raw", F.expr("cast(text as binary)"))
     sized = lambda x: f"cast(lower(hex(octet_length({x}))) as binary)"
     crlf = "x'0D0A'"
-    body = f"concat({sized(half)}, cast(';a=b' as binary), {crlf}, {half}, {crlf}, {sized(rest)}, {crlf}, {rest}, {crlf}, cast('0' as binary), {crlf}, cast('x-trailer: 1' as binary), {crlf}, {crlf})"
-    sent = o.withColumn("body", F.expr(f"if(id % 10 = 3, substring({body}, 1, 20), {body})"))
+    second = f"if(size > 1, concat({sized(rest)}, {crlf}, {rest}, {crlf}), x'')"
+    body = f"concat({sized(half)}, cast(';a=b' as binary), {crlf}, {half}, {crlf}, {second}, cast('0' as binary), {crlf}, cast('x-trailer: 1' as binary), {crlf}, {crlf})"
+    sent = o.withColumn("body", F.expr(f"if(id % 10 <> 3, {body}, substring({body}, 1, 20))"))
     return sent.select("id", F.md5(B.decode_chunked("body")).alias("digest"))
 
 

@@ -1,5 +1,6 @@
 """Golden cases of operators, and nulls and empty inputs."""
 
+import hashlib
 import json
 import random
 
@@ -276,6 +277,23 @@ def test_bodies(spark):
     assert [r[0] for r in rows.select(bodies.decode_chunked("c")).collect()] == [b"abc", None, None, None]
 
 
+@pytest.mark.parametrize(("tail", "whole"), [(b"\r\n", True), (b"x: 1\r\n\r\n", True), (b"x: 1\r\ny: 2\r\n\r\n", True), (b"", False), (b"\r", False), (b"x", False), (b"x: 1\r\n", False), (b"x: 1\r\n\r", False)])
+def test_bodies_cut_after_the_last_chunk(spark, tail, whole):
+    rows = spark.createDataFrame([(b"3\r\nabc\r\n0\r\n" + tail,)], "c binary")
+    assert rows.select(bodies.decode_chunked("c")).first()[0] == (b"abc" if whole else None)
+
+
+def test_short_bodies(spark, tmp_path):
+    """Texts of a few bytes, which are cut in the trailer, and of one byte, which can't be halved."""
+    from tessera.plans import registry
+
+    texts = [None, "", "a", "ab", "abc", "abcd", "é", "0", "\r", "0\r\n\r\n"]
+    rows = [(10 * i + k, t, "en", "s") for i, t in enumerate(texts) for k in (3, 4)] + [(None, "abc", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["id"]: r["digest"] for r in registry.QUERIES["src02_chunked"](spark, str(tmp_path)).collect()}
+    assert found == {i: hashlib.md5(t.encode()).hexdigest() if i is not None and i % 10 != 3 else None for i, t, *_ in rows if t}
+
+
 def test_snapshot(spark):
     e = spark.createDataFrame([("a", "1", 1, "put"), ("a", None, 2, "delete"), ("b", "2", 3, "put")], "key string, value string, revision long, op string")
     assert [r["key"] for r in watch.snapshot(e).collect()] == ["b"]
