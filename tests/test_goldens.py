@@ -311,3 +311,23 @@ def test_scrypt(spark):
     # Fixed value: the first 32 bytes of RFC 7914's example for N 16384, r 8, p 1.
     want = "7023bdcb3afd7348461c06cd81fd38ebfda8fbba904f8e3ea9b543f6545da1f2"
     assert one(spark, S.scrypt_hash(F.lit("pleaseletmein"), F.lit(b"SodiumChloride".hex()))) == (want,)
+
+
+@pytest.mark.parametrize(("password", "salt"), [(b"", b""), (b"", b"salt"), (b"a\0b", b"\0\xff"), ("é".encode() * 99, bytes(16))])
+def test_scrypt_by_either_library(password, salt):
+    assert S.scrypt(password, salt) == S.scrypt(password, salt, fast=False)
+
+
+def test_scrypt_is_dealt_out(spark, tmp_path):
+    """One file of users becomes several tasks; users of one name have one hash, which is made once; a null name has none."""
+    from tessera.plans import registry
+
+    rows = [(i, f"u{i % 150}" if i else None, 0) for i in range(301)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey long").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    df = registry.QUERIES["sc14_scrypt"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(3)" in plan and "Broadcast" not in plan
+    found = {r["id"]: r["hash"] for r in df.collect()}
+    assert len(found) == 301 and found[0] is None
+    assert all(found[i] == found[i + 150] for i in range(1, 151)) and len(set(found.values())) == 151
+    assert found[7] == hashlib.scrypt(b"u7", salt=hashlib.md5(b"u7").digest(), n=16384, r=8, p=1, dklen=32).hex()
