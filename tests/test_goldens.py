@@ -331,3 +331,13 @@ def test_scrypt_is_dealt_out(spark, tmp_path):
     assert len(found) == 301 and found[0] is None
     assert all(found[i] == found[i + 150] for i in range(1, 151)) and len(set(found.values())) == 151
     assert found[7] == hashlib.scrypt(b"u7", salt=hashlib.md5(b"u7").digest(), n=16384, r=8, p=1, dklen=32).hex()
+
+
+def test_scrypt_of_many_names_has_few_tasks(spark, tmp_path):
+    """Tasks of 64 names each would cost more than they share out: beyond 64 tasks a core, they get longer."""
+    from tessera.plans import registry
+
+    tasks = 64 * spark.sparkContext.defaultParallelism
+    spark.range(tasks * 128).selectExpr("id as c_custkey", "concat('u', id) as c_name", "0L as c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    plan = registry.QUERIES["sc14_scrypt"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert f"RoundRobinPartitioning({tasks + 1})" in plan
